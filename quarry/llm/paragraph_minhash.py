@@ -1,8 +1,9 @@
 """Paragraph deduplication by MinHash banding.
 
 A text's paragraphs are its lines; a line of more than ``LONG`` words is cut further at sentence ends that its
-words choose (by hash), so that a passage gets the same cuts wherever it stands. Paragraphs of ``MIN_WORDS``
-or more words take part. Equal ones (lower-cased words) are one class, whatever their number. Classes are
+words choose (by hash), so that a passage gets the same cuts wherever it stands. Lines of ``MIN_WORDS`` or more
+words take part (shorter ones are the stock phrases of ordinary text), and of long lines pieces of
+``MIN_PIECE`` or more. Equal ones (lower-cased words) are one class, whatever their number. Classes are
 sets of distinct 5-word shingles; bands of MinHash values, tuned for the recall asked for, propose pairs of
 classes (stars, see ``star_join``); whole sets verify them; components of links are clusters. The first
 paragraph of a cluster (by doc_id, then place) stays, all others are removed.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import U, Words, Workspace, cut, grams, merge, mix, named, portions, restrict, span_array, star_join
 
 LONG = 60
-MIN_WORDS = 8
+MIN_WORDS = 20
+MIN_PIECE = 8
 SHINGLE = 5
 PERCENT = 80
 
@@ -46,7 +48,7 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0xA0761D6478BD642F)) |
 
 
 def paragraphs(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of the texts, and of each paragraph its text, first word and word after the last."""
+    """The words of the texts, and of each paragraph that takes part its text, first word and word after the last."""
     words = Words(texts)
     data, n = words.data, len(words)
     if not n:
@@ -63,7 +65,10 @@ def paragraphs(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.nd
     stop = np.isin(last, np.frombuffer(b".!?", np.uint8)) & (words.hash % U(2) == 0)
     new[1:] |= long[1:] & stop[:-1]
     first = np.flatnonzero(new)
-    return words, text[first], first, np.append(first[1:], n)
+    last = np.append(first[1:], n)
+    enough = last - first >= np.where(long[first], MIN_PIECE, MIN_WORDS)
+    first, last = first[enough], last[enough]
+    return words, text[first], first, last
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,8 +99,6 @@ class ParagraphDedup:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in portions(batches):
                 words, text, first, last = paragraphs(texts)
-                enough = last - first >= MIN_WORDS
-                text, first, last = text[enough], first[enough], last[enough]
                 if not len(text):
                     continue
                 uid = _uids(words, first, last)
@@ -122,8 +125,6 @@ class ParagraphDedup:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in portions(batches):
                 words, text, first, last = paragraphs(texts)
-                enough = last - first >= MIN_WORDS
-                text, first, last = text[enough], first[enough], last[enough]
                 uid = _uids(words, first, last).view(np.int64)
                 wanted, seen = [set(u) for u in batch.column("uids").to_pylist()], set()
                 every = grams(words.hash, SHINGLE)

@@ -80,7 +80,7 @@ RULES = (
     Rule("short", "n_words < 10"),
     Rule("repeated", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("dup_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
 )
 #: Versions of the policy: names of rules.

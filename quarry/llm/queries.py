@@ -99,7 +99,7 @@ m as (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
          (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines, coalesce(n.n, 0)::bigint as n_repeat_words
   from wins left join n using (doc_id)),
-f as (select *, n_words < 10 as f0, 100 * n_repeat_words > 20 * n_words as f1, 10 * n_symbols > n_words as f2, 10 * n_dup_lines > 3 * n_lines as f3,
+f as (select *, n_words < 10 as f0, 100 * n_repeat_words > 20 * n_words as f1, 10 * n_symbols > n_words as f2, 2 * n_dup_lines > n_lines as f3,
          n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words) as f4 from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 as base_failed, not (f0 or f1 or f2 or f3 or f4) as kept,
        (f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int)::bigint as failed from f""",

@@ -80,6 +80,10 @@ def written(all_spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(all_spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 class BlobLedger:
     """A ledger in a folder of the store: ``seen`` (blob, rule) and ``findings`` (blob, rule, spans)."""
 
@@ -142,6 +146,6 @@ class BlobLedger:
         all_ = F.coalesce("spans", F.array().cast(SPANS))
         kinds = [r.kind for r in base]
         out = paths.join(per, "blob", "left").withColumn("spans", all_)
-        counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+        counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
         digest = F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(kinds))), 256)
         return out.select("doc_id", *counts, digest.alias("base_sha256"), written(F.col("spans")).alias("spans"))

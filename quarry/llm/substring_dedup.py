@@ -53,22 +53,26 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int)
     return np.unique((run[np.cumsum(ok[:-1]) > 0] & U(0xFFFFFFFF)).astype(np.int64))
 
 
-def suffix_array(t: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of (group, the next ``depth`` bytes at least); prefix doubling from 4 bytes."""
+def suffix_array(t: np.ndarray, group: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of (group, the bytes to the piece's end); equal ones in text order, as if every
+    piece had an end mark of its own. left: bytes to the end of a position's piece. Prefix doubling from 4 bytes."""
     n = len(t)
-    wide = np.concatenate([t, np.zeros(4, np.uint8)]).astype(U)
-    key = group.astype(U) << U(32) | wide[:n] << U(24) | wide[1 : n + 1] << U(16) | wide[2 : n + 2] << U(8) | wide[3 : n + 3]
+    key = group.astype(U)
+    for k in range(4):
+        key = key << U(8) | np.where(left > k, np.concatenate([t[k:], t[:k]]), 0).astype(U)
     have = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         new = np.concatenate([[False], s[1:] != s[:-1]])
         rank = np.empty(n, U)
         rank[order] = np.cumsum(new).astype(U)
-        if have >= depth or int(new.sum()) == n - 1:
+        if int(new.sum()) == n - 1:
             return order
+        if have >= depth:
+            return np.argsort(rank << U(32) | np.arange(n, dtype=U))
         after = np.zeros(n, U)
-        after[:-have] = rank[have:] + U(1)
+        after[:-have] = np.where(left[:-have] > have, rank[have:] + U(1), U(0))
         key, have = rank << U(32) | after, 2 * have
 
 
@@ -96,7 +100,8 @@ def repeated(pieces: list[bytes], groups: list[int], length: int) -> list[np.nda
     sizes = np.array([len(p) + 1 for p in pieces])
     ends = np.cumsum(sizes)
     n = len(t)
-    sa = suffix_array(t, np.repeat(np.array(groups), sizes), int(sizes.max()))
+    left = np.repeat(ends, sizes) - np.arange(n)
+    sa = suffix_array(t, np.repeat(np.array(groups), sizes), left, int(sizes.max()))
     bwt = np.where(sa > 0, t[sa - 1], 255)
     # a run also ends at a piece's start: nothing stands before it
     breaks = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 255)
@@ -113,8 +118,7 @@ def repeated(pieces: list[bytes], groups: list[int], length: int) -> list[np.nda
         known[0], reach[0] = True, max(reach[0], 0)
         at = np.maximum.accumulate(np.where(known, np.arange(n), 0))
         match = np.maximum(match, reach[at] - np.arange(n))
-    match = np.minimum(match, np.repeat(ends - 1, sizes) - np.arange(n))
-    good = match >= length
+    good = np.minimum(match, left - 1) >= length
     return [np.flatnonzero(good[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
