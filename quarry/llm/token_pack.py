@@ -116,6 +116,11 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, at: np.ndarray, value
     return out
 
 
+#: Stands between words that are encoded in one go; one id, which only itself gives.
+MARK = b"\x01"
+TOGETHER = 50
+
+
 class WordCache(dict):
     """Ids of white-space separated pieces, each encoded once; emptied when it has more than ``most``."""
 
@@ -139,17 +144,33 @@ class WordCache(dict):
     def _learn(self) -> None:
         if not self.new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        flat, sizes = self._ids(self.new)
+        n = len(sizes)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(got) > len(self.first):
+        while self.n + n > len(self.first):
             self.first, self.size = np.concatenate([self.first, self.first * 0]), np.concatenate([self.size, self.size * 0])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.first[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(got)] = sizes
-        self.used, self.n, self.new = self.used + len(flat), self.n + len(got), []
+        self.first[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + n] = sizes
+        self.used, self.n, self.new = self.used + len(flat), self.n + n, []
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and the number of each; they are encoded ``TOGETHER`` at a time with a mark between."""
+        (mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        odd = [w for w in words if MARK in w]
+        if odd:  # a word that holds the mark is encoded alone
+            one = {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in odd}
+            flat, sizes = self._ids([w for w in words if MARK not in w])
+            rest = iter(np.split(flat, np.cumsum(sizes)[:-1]))
+            every = [one[w] if w in one else next(rest) for w in words]
+            return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = [(b" %b " % MARK).join(words[k : k + TOGETHER]) + b" " + MARK for k in range(0, len(words), TOGETHER)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)])
+        at = np.flatnonzero(flat == mark)
+        return np.delete(flat, at), np.diff(at, prepend=-1) - 1
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
