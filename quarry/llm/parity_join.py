@@ -95,6 +95,70 @@ def linked(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def near_arms(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets (id, n, sketch) that follow one open centre, are in different components, and whose folded sketches are near.
+
+    A centre's sets come in the order of their size and are compared with those not too small for them; no
+    pair leaves the task but near ones. Centres with more than TOGETHER sets are dealt out as pairs of blocks.
+    """
+    per = members.groupBy("a").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    per = per.select("a", F.ceil(F.col("size") / TOGETHER).cast("int").alias("blocks"))
+    rows = members.join(per, "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    rows = rows.select("a", "b", "component", "i", other).select("a", "b", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    rows = rows.join(sets.select(F.col("id").alias("b"), "n", "sketch"), "b")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sketches of a bit or two for each shingle: folding keeps the bound."""
+        for batch in batches:
+            out = []
+            for x in batch.column("sketch").to_pylist():
+                x = np.frombuffer(x, np.uint8)
+                for _ in range(2):
+                    if len(x) > 8:
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], batch.schema.names)
+
+    schema = "b long, a long, component long, i int, lo int, hi int, n long, sketch binary"
+    rows = rows.select("b", "a", "component", "i", "lo", "hi", "n", "sketch").mapInArrow(short, schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for b, a, c, i, lo, hi, n, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if group != (a, lo, hi):
+                    group, held = (a, lo, hi), {}
+                x = np.frombuffer(x, U)
+                size = len(x)
+                for k in (size, size // 2):
+                    if k not in held:
+                        continue
+                    bits, facts, count = held[k]
+                    y = x if k == size else x[:k] ^ x[k:]
+                    at = int(np.searchsorted(facts[2, :count], -(-n * percent // 100)))
+                    near = facts[1, at:count] != c
+                    if lo != hi:
+                        near &= facts[3, at:count] != i
+                    near = np.flatnonzero(near) + at
+                    if len(near):
+                        d = np.bitwise_count(bits[near] ^ y).sum(1, dtype=np.int64)
+                        near = near[d <= (facts[2, near] + n) * (100 - percent) // (100 + percent)]
+                        ids = facts[0, near]
+                        out.append((np.minimum(ids, b), np.maximum(ids, b)))
+                bits, facts, count = held.get(size) or (np.zeros((16, size), U), np.zeros((4, 16), np.int64), 0)
+                if count == len(bits):
+                    bits, facts = np.concatenate([bits, np.zeros_like(bits)]), np.concatenate([facts, np.zeros_like(facts)], 1)
+                bits[count], facts[:, count] = x, (b, c, n, i)
+                held[size] = (bits, facts, count + 1)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], ["a", "b"])
+
+    dealt = rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "n")
+    return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
 class ParityJoin:
     """``classes()`` gives doc_id, n_shingles, n_links, component_id for each row of docs (doc_id, text)."""
 
@@ -227,70 +291,6 @@ class ParityJoin:
         shingles = texts.mapInArrow(whole, "id long, shingles binary").where("length(shingles) > 0")
         return self.ws.keep(meet(close, shingles, ["shingles"]).mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
 
-    def _arms(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of sets that follow one open centre, are in different components, and whose folded sketches are near.
-
-        A centre's sets come in the order of their size and are compared with those not too small for them; no
-        pair leaves the task but near ones. Centres with more than TOGETHER sets are dealt out as pairs of blocks.
-        """
-        percent = self.percent
-        per = members.groupBy("a").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        per = per.select("a", F.ceil(F.col("size") / TOGETHER).cast("int").alias("blocks"))
-        rows = members.join(per, "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-        rows = rows.select("a", "b", "component", "i", other).select("a", "b", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-        rows = rows.join(sets.select(F.col("id").alias("b"), "n", "sketch"), "b")
-
-        def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sketches of a bit or two for each shingle: folding keeps the bound."""
-            for batch in batches:
-                out = []
-                for x in batch.column("sketch").to_pylist():
-                    x = np.frombuffer(x, np.uint8)
-                    for _ in range(2):
-                        if len(x) > 8:
-                            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                    out.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], batch.schema.names)
-
-        schema = "b long, a long, component long, i int, lo int, hi int, n long, sketch binary"
-        rows = rows.select("b", "a", "component", "i", "lo", "hi", "n", "sketch").mapInArrow(short, schema)
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, held = None, {}
-            for batch in batches:
-                out: list[tuple[np.ndarray, np.ndarray]] = []
-                for b, a, c, i, lo, hi, n, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                    if group != (a, lo, hi):
-                        group, held = (a, lo, hi), {}
-                    x = np.frombuffer(x, U)
-                    size = len(x)
-                    for k in (size, size // 2):
-                        if k not in held:
-                            continue
-                        bits, facts, count = held[k]
-                        y = x if k == size else x[:k] ^ x[k:]
-                        at = int(np.searchsorted(facts[2, :count], -(-n * percent // 100)))
-                        near = facts[1, at:count] != c
-                        if lo != hi:
-                            near &= facts[3, at:count] != i
-                        near = np.flatnonzero(near) + at
-                        if len(near):
-                            d = np.bitwise_count(bits[near] ^ y).sum(1, dtype=np.int64)
-                            near = near[d <= (facts[2, near] + n) * (100 - percent) // (100 + percent)]
-                            ids = facts[0, near]
-                            out.append((np.minimum(ids, b), np.maximum(ids, b)))
-                    bits, facts, count = held.get(size) or (np.zeros((16, size), U), np.zeros((4, 16), np.int64), 0)
-                    if count == len(bits):
-                        bits, facts = np.concatenate([bits, np.zeros_like(bits)]), np.concatenate([facts, np.zeros_like(facts)], 1)
-                    bits[count], facts[:, count] = x, (b, c, n, i)
-                    held[size] = (bits, facts, count + 1)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], ["a", "b"])
-
-        dealt = rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "n")
-        return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
-
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows of docs with their class, links (a, b) between class representatives, components)."""
         ws = self.ws
@@ -304,7 +304,7 @@ class ParityJoin:
         spare = ws.keep(rows.where("doc_id <> rep").select(*mark).distinct(), "spare")
         sets = restrict(read.where("n > 0 and doc_id is not null"), spare, mark, "left_anti").select(F.col("doc_id").alias("id"), "n", "sketch", "words")
         self.frequent = self._frequent(sets)
-        links, component = star_join(ws, lambda ids: self._records(sets if ids is None else restrict(sets, ids, "id")), lambda pairs, name: self._verify(pairs, sets, name), lambda members: self._arms(members, sets))
+        links, component = star_join(ws, lambda ids: self._records(sets if ids is None else restrict(sets, ids, "id")), lambda pairs, name: self._verify(pairs, sets, name), lambda members: near_arms(members, sets, self.percent))
         ws.drop("read")
         return rows, links, component
 

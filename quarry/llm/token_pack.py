@@ -218,7 +218,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _cache(vocabulary, end)
         seq = first = 0
-        for batch, texts in portions(batches, most=1 << 19):
+        for batch, texts in portions(batches, most=1 << 20):
             ids, sizes = cache.encode(texts)
             doc_ids, part = batch.column("doc_id").to_pylist(), batch.column("part")[0].as_py()
             stops = np.cumsum(sizes)
