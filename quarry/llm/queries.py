@@ -84,12 +84,11 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
-    "op5_secret_ledger": "",
     "op10_quality_ledger": rf"""
 with w as (
   select doc_id, coalesce(text, '') as t, {_WORDS} as w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
-wins as (select doc_id, w, t, l, list_transform(range(1, greatest(len(w) - 4, 0) + 1), i -> list_aggregate(w[i:i+4], 'string_agg', ' ')) as g from w),
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+wins as (select doc_id, w, t, l, list_transform(range(1, greatest(len(w) - 4, 0) + 1), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) as g from w),
 u as (select doc_id, unnest(g) as g, generate_subscripts(g, 1) as i from wins),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from u) where c > 1),
 p as (select distinct doc_id, unnest(range(i, i + 5)) as p from r),
@@ -104,4 +103,3 @@ f as (select *, n_words < 10 as f0, 100 * n_repeat_words > 20 * n_words as f1, 1
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 as base_failed, not (f0 or f1 or f2 or f3 or f4) as kept,
        (f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int)::bigint as failed from f""",
 }
-del ORACLE_SQL["op5_secret_ledger"]  # offsets of all matches: tested against a brute-force version
