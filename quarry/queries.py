@@ -24,7 +24,7 @@ ORACLE: dict[str, str] = {}
 
 def _flat(df: DataFrame, labels: tuple[str, ...], value: str = "value") -> DataFrame:
     names = {"__name__": "name"}
-    return df.select(*(F.coalesce(F.col("labels")[x], F.lit("")).alias(names.get(x, x)) for x in labels), "step_ms", F.round(value, 4).alias("value"))
+    return df.select(*(F.coalesce(F.col("labels")[x], F.lit("")).alias(names.get(x, x)) for x in labels), "step_ms", F.round(value, 7).alias("value"))
 
 
 def _prom(key: str, query: str, labels: tuple[str, ...], sql: str | None, step: int = DAY) -> None:
