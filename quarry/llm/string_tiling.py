@@ -90,13 +90,15 @@ def found(items: Items, texts: list[bytes], covered: float) -> Iterator[tuple[in
     text = np.searchsorted(words.first, hit, "right") - 1
     inside = hit + LEAST <= words.first[text + 1]
     hit, text = hit[inside], text[inside]
+    if not len(hit):
+        return
     hi = np.searchsorted(items.seeds, every[hit], "right")
     n = hi - lo[hit]
     at = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     text, j, owner, i = np.repeat(text, n), np.repeat(hit, n), items.owner[at], items.place[at]
     order = np.lexsort((owner, text))
     text, j, owner, i = text[order], j[order], owner[order], i[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (owner[1:] != owner[:-1])])) if len(text) else []
+    cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (owner[1:] != owner[:-1])]))
     for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
         size = len(items.words[owner[a]])
         if len(np.unique(i[a:b])) * LEAST < covered * size:  # even apart these seeds cover too little
