@@ -281,7 +281,7 @@ def _across(records: DataFrame, component: DataFrame) -> DataFrame:
     return left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across, "a long, b long").where("a <> b").distinct()
 
 
-def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame, bool], DataFrame] | None = None, nearest_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links among ids that share a key, and their components, without all pairs of any group.
 
     records(ids) gives (key, id, whole) of all ids or of those in a table (id); whole is the key before
@@ -289,10 +289,12 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
 
     In each group ids are first proposed to the smallest only: the centre with the most shared keys, then
     what is still in another component. If members of one centre's groups are then in different components,
-    exactly those are compared with each other: by their keys again, or by arms(members), which is given
+    exactly those are compared with each other: by their keys again, or by arms(members, False), which is given
     (a, b, component) of the centres a that are open and must return all linked pairs of different
-    components that follow one centre (others may be among them). So every two ids that share a key end in one component or
-    were compared: the components are those of all links.
+    components that follow one centre (others may be among them). With nearest_first, arms(members, True) is
+    asked first for a pair or so of each id, the likeliest one: a group of near copies that its centre is too
+    far from is then one component before all pairs of different components are asked for. So every two ids
+    that share a key end in one component or were compared: the components are those of all links.
     """
     first = _stars(ws, records(None), "stars")
     tops = first.where("whole <> 0").select(F.col("whole").alias("key"), F.col("a").alias("id"), F.lit(0).cast("long").alias("whole"))
@@ -307,11 +309,21 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     centres = ws.keep(_open(pairs, component).select("a").distinct(), "open")
     members = ws.keep(restrict(pairs, centres, "a").select("a", "b"), "open-members")
     if arms:
-        of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-        rest = arms(of.select("a", "b", "component"))
+        met = pairs.select("a", "b")
+
+        def follow() -> DataFrame:
+            of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left")
+            return of.select("a", "b", F.coalesce("component", "b").alias("component"))
+
+        if nearest_first:
+            nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
+            links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
+            component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
+            met = met.unionByName(nearest)
+        rest = arms(follow(), False).join(met, ["a", "b"], "left_anti")
     else:
         rest = _across(records(ws.keep(members.select(F.col("b").alias("id")).distinct(), "open-ids")), component)
-    rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     links = ws.keep(links.unionByName(verify(rest, "rest")), "links-3")
     component = ws.keep(connected_components(ws, links, "cc3"), "component-3")
     ws.drop("stars", "tops", "candidates")

@@ -164,8 +164,10 @@ class ParagraphDedup:
 
         return ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
 
-    def _arms(self, members: DataFrame) -> DataFrame:
+    def _arms(self, members: DataFrame, nearest: bool) -> DataFrame:
         """What follows an open centre, compared by parity sketches before any pair is made."""
+        if not nearest:  # drawn before
+            return near_arms(members, self.drawn, PERCENT)
         ids = self.ws.keep(members.select(F.col("b").alias("id")).distinct(), "arm-ids")
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,8 @@ class ParagraphDedup:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["id", "n", "sketch"])
 
         drawn = self._sets(ids, self.firsts, "shingles").mapInArrow(draw, "id long, n long, sketch binary")
-        return near_arms(members, self.ws.keep(drawn, "arm-sketches"), PERCENT)
+        self.drawn = self.ws.keep(drawn, "arm-sketches")
+        return near_arms(members, self.drawn, PERCENT, nearest)
 
     def clusters(self) -> tuple[DataFrame, DataFrame]:
         """All paragraphs, and (uid, cluster, first place) of classes with more than one paragraph in their cluster."""
@@ -183,7 +186,7 @@ class ParagraphDedup:
         place = F.struct("rid", "tie", "place")
         classes = ws.keep(units.groupBy("uid").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("n").alias("size")), "classes")
         self.firsts = classes.select("uid", F.col("size").alias("n"), "first.rid", "first.tie")
-        _, component = star_join(ws, lambda ids: self._sets(ids, self.firsts, "records"), self._verify, self._arms)
+        _, component = star_join(ws, lambda ids: self._sets(ids, self.firsts, "records"), self._verify, self._arms, nearest_first=True)
         joined = classes.join(component.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid"))
         linked = joined.where("component is not null")
         first = linked.groupBy("cluster").agg(F.min("first").alias("first"))

@@ -37,6 +37,8 @@ from .common import U, Workspace, mix, portions, restrict, shingle_sets, signed,
 SLOTS = 1 << 19
 #: Sets of one centre that one task compares.
 TOGETHER = 2048
+#: Sketches of so many bytes are compared whole; longer ones are folded.
+SHORT = 32
 #: A counter this many times the mean is of a frequent word.
 FREQUENT = 8
 STRETCH = 1.25
@@ -95,11 +97,11 @@ def linked(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def near_arms(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def near_arms(members: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs of sets (id, n, sketch) that follow one open centre, are in different components, and whose folded sketches are near.
 
     A centre's sets come in the order of their size and are compared with those not too small for them; no
-    pair leaves the task but near ones. Centres with more than TOGETHER sets are dealt out as pairs of blocks.
+    pair leaves the task but near ones (nearest: of those, each set's nearest). Centres with more than TOGETHER sets are dealt out as pairs of blocks.
     """
     per = members.groupBy("a").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     per = per.select("a", F.ceil(F.col("size") / TOGETHER).cast("int").alias("blocks"))
@@ -109,13 +111,13 @@ def near_arms(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(sets.select(F.col("id").alias("b"), "n", "sketch"), "b")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sketches of a bit or two for each shingle: folding keeps the bound."""
+        """Sketches of a bit or two for each shingle, or of all bits up to SHORT bytes: folding keeps the bound."""
         for batch in batches:
             out = []
             for x in batch.column("sketch").to_pylist():
                 x = np.frombuffer(x, np.uint8)
                 for _ in range(2):
-                    if len(x) > 8:
+                    if len(x) > SHORT:
                         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], batch.schema.names)
@@ -131,7 +133,7 @@ def near_arms(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if group != (a, lo, hi):
                     group, held = (a, lo, hi), {}
                 x = np.frombuffer(x, U)
-                size = len(x)
+                size, best = len(x), []
                 for k in (size, size // 2):
                     if k not in held:
                         continue
@@ -144,9 +146,14 @@ def near_arms(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     near = np.flatnonzero(near) + at
                     if len(near):
                         d = np.bitwise_count(bits[near] ^ y).sum(1, dtype=np.int64)
-                        near = near[d <= (facts[2, near] + n) * (100 - percent) // (100 + percent)]
-                        ids = facts[0, near]
-                        out.append((np.minimum(ids, b), np.maximum(ids, b)))
+                        close = d <= (facts[2, near] + n) * (100 - percent) // (100 + percent)
+                        ids, d = facts[0, near[close]], d[close]
+                        if nearest:
+                            best += [(int(d.min()), int(ids[d.argmin()]))] if len(ids) else []
+                        else:
+                            out.append((np.minimum(ids, b), np.maximum(ids, b)))
+                if best:
+                    out.append((np.array([min(b, min(best)[1])]), np.array([max(b, min(best)[1])])))
                 bits, facts, count = held.get(size) or (np.zeros((16, size), U), np.zeros((4, 16), np.int64), 0)
                 if count == len(bits):
                     bits, facts = np.concatenate([bits, np.zeros_like(bits)]), np.concatenate([facts, np.zeros_like(facts)], 1)
@@ -304,7 +311,7 @@ class ParityJoin:
         spare = ws.keep(rows.where("doc_id <> rep").select(*mark).distinct(), "spare")
         sets = restrict(read.where("n > 0 and doc_id is not null"), spare, mark, "left_anti").select(F.col("doc_id").alias("id"), "n", "sketch", "words")
         self.frequent = self._frequent(sets)
-        links, component = star_join(ws, lambda ids: self._records(sets if ids is None else restrict(sets, ids, "id")), lambda pairs, name: self._verify(pairs, sets, name), lambda members: near_arms(members, sets, self.percent))
+        links, component = star_join(ws, lambda ids: self._records(sets if ids is None else restrict(sets, ids, "id")), lambda pairs, name: self._verify(pairs, sets, name), lambda members, nearest: near_arms(members, sets, self.percent, nearest))
         ws.drop("read")
         return rows, links, component
 
