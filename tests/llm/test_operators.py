@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import feistel_shards, language_id, paragraph_minhash, parity_join, quality_ledger, secret_ledger, source_mix, string_tiling, substring_dedup, token_pack
 from quarry.llm.queries import vocabulary
@@ -186,6 +187,47 @@ def test_paragraph_minhash(docs, rows, none):
     assert 1 - (1 - 0.8**size) ** bands >= 0.99
 
 
+def test_paragraph_clusters(spark, monkeypatch):
+    """Chains of near copies, whose ends are far apart: clusters are the components of all links between sets."""
+    asked = []
+    arms = paragraph_minhash.ParagraphDedup._arms
+    monkeypatch.setattr(paragraph_minhash.ParagraphDedup, "_arms", lambda self, members, nearest: asked.append(nearest) or arms(self, members, nearest))
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(4):
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(58)]
+        for _ in range(30):
+            w[rnd.randrange(len(w))] = "".join(rnd.choice("abcdefgh") for _ in range(6))
+            texts.append(" ".join(w))
+    sets = [_set(t) for t in texts]
+    at = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if at[a] != at[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                at = [at[b] if v == at[a] else v for v in at]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    frame = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string")
+    got = {r.rid: r.cluster for r in (lambda u, c: u.join(c, "uid", "left").select("rid", F.coalesce("cluster", "uid").alias("cluster")).collect())(*paragraph_minhash.ParagraphDedup(frame).clusters())}
+    assert asked == [True, False]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    assert [at[a] == at[b] for a, b in pairs] == [got[a] == got[b] for a, b in pairs]
+    assert len(set(at)) < 20
+
+
+def test_near_arms_nearest(spark):
+    """Asked for the nearest only, a set names one of its near partners, and one that is as near as any."""
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(60)]
+    sets = {k: np.unique(np.array([*base[k % 7 :], *(rnd.getrandbits(64) for _ in range(k % 5))], np.uint64)) for k in range(1, 25)}
+    frame = spark.createDataFrame([(k, len(s), bytearray(parity_join.sketch(s).tobytes())) for k, s in sets.items()], "id long, n long, sketch binary")
+    members = spark.createDataFrame([(0, k, k) for k in sets], "a long, b long, component long")
+    every = {(r.a, r.b) for r in parity_join.near_arms(members, frame, 80).collect()}
+    some = {(r.a, r.b) for r in parity_join.near_arms(members, frame, 80, True).collect()}
+    assert {(a, b) for a in sets for b in sets if a < b and parity_join.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)} <= every
+    assert some and some <= every and len(some) < len(sets)
+
+
 def test_source_mix(docs, rows, none):
     got = source_mix.mix(docs).collect()
     assert len(got) == len(rows) and all(r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"] for r in got)
