@@ -8,11 +8,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
 _UNITS = {"ns": 1, "us": 10**3, "µs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9, "d": 86400 * 10**9, "w": 7 * 86400 * 10**9, "y": 365 * 86400 * 10**9}
 _BYTES = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "pb": 10**15, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40, "pib": 2**50}
 
 
+def nan() -> Column:
+    """A function, since a column can't be made before there is a session."""
+    return F.lit(float("nan"))
+
+
+def inf() -> Column:
+    return F.lit(float("inf"))
+
+
 def duration_ns(text: str) -> int:
     """Nanoseconds of 1h2m3s4ms and the like."""
     parts = re.findall(r"(\d+(?:\.\d+)?)(ns|us|µs|ms|s|m|h|d|w|y)", text)
@@ -47,11 +55,11 @@ def bytes_column(text: Column) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a) | F.isnan(b) | (a == 0), NAN).otherwise(F.when(a > 0, INF).otherwise(-INF))
+    return F.when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a) | F.isnan(b) | (a == 0), nan()).otherwise(F.when(a > 0, inf()).otherwise(-inf()))
 
 
 def mod(a: Column, b: Column) -> Column:
-    return F.when((b == 0) | F.isnan(a) | F.isnan(b), NAN).otherwise(a % F.when(b != 0, b))
+    return F.when((b == 0) | F.isnan(a) | F.isnan(b), nan()).otherwise(a % F.when(b != 0, b))
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
@@ -65,7 +73,7 @@ def compare(op: str, a: Column, b: Column) -> Column:
 
 def arithmetic(op: str, a: Column, b: Column, zero_is_nan: bool = False) -> Column:
     if op == "/":
-        return F.when(b == 0, NAN).otherwise(div(a, b)) if zero_is_nan else div(a, b)
+        return F.when(b == 0, nan()).otherwise(div(a, b)) if zero_is_nan else div(a, b)
     if op == "%":
         return mod(a, b)
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "^": lambda: F.pow(a, b), "atan2": lambda: F.atan2(a, b)}[op]()
@@ -73,24 +81,24 @@ def arithmetic(op: str, a: Column, b: Column, zero_is_nan: bool = False) -> Colu
 
 def least_number(value: Column) -> Column:
     """min in which NaN loses to any number."""
-    return F.coalesce(F.min(F.when(~F.isnan(value), value)), NAN)
+    return F.coalesce(F.min(F.when(~F.isnan(value), value)), nan())
 
 
 def most_number(value: Column) -> Column:
-    return F.coalesce(F.max(F.when(~F.isnan(value), value)), NAN)
+    return F.coalesce(F.max(F.when(~F.isnan(value), value)), nan())
 
 
 def log(name: str, v: Column) -> Column:
     safe = {"ln": F.log, "log2": F.log2, "log10": F.log10}[name](F.when(v > 0, v))
-    return F.when(v == 0, -INF).when(v < 0, NAN).otherwise(safe)
+    return F.when(v == 0, -inf()).when(v < 0, nan()).otherwise(safe)
 
 
 def quantile(q: float, values: Column) -> Column:
     """Of the values of a group, interpolated; outside 0 .. 1 it is infinite."""
     if math.isnan(q):
-        return F.max(NAN)
+        return F.max(nan())
     if q < 0 or q > 1:
-        return F.max(-INF if q < 0 else INF)
+        return F.max(-inf() if q < 0 else inf())
     return F.percentile(values, F.lit(float(q)))
 
 

@@ -79,7 +79,7 @@ def _window_functions(window: int) -> dict:
         return F.when(F.coalesce(tail["two"], F.lit(False)), step / F.when(took != 0, took) if counter else step)
 
     x = (ts - t) / 1000.0
-    slope = F.when(F.min("value") == F.max("value"), F.when(F.abs(F.max("value")) == float("inf"), N.NAN).otherwise(0.0)).otherwise(F.regr_slope("value", x))
+    slope = F.when(F.min("value") == F.max("value"), F.when(F.abs(F.max("value")) == float("inf"), N.nan()).otherwise(0.0)).otherwise(F.regr_slope("value", x))
     return {
         "count_over_time": n.cast("double"), "sum_over_time": F.sum(v), "avg_over_time": F.avg(v), "min_over_time": N.least_number(v), "max_over_time": N.most_number(v),
         "last_over_time": last, "first_over_time": first, "present_over_time": F.max(F.lit(1.0)), "stddev_over_time": F.stddev_pop(v), "stdvar_over_time": F.var_pop(v),
@@ -250,7 +250,7 @@ class PromEngine:
             return Value(self._vector(v, grid))
         if name == "scalar":
             one = v.df.groupBy("step_ms").agg(F.when(F.count("*") == 1, F.max("value")).alias("value"))
-            return Value(grid.steps(self.spark).join(one, "step_ms", "left").select("step_ms", F.coalesce("value", N.NAN).alias("value")), True)
+            return Value(grid.steps(self.spark).join(one, "step_ms", "left").select("step_ms", F.coalesce("value", N.nan()).alias("value")), True)
         if name == "timestamp":
             return Value(self._nameless(v.df.withColumn("value", F.col("step_ms") / 1000.0)))
         if name in ("sort", "sort_desc"):
@@ -272,7 +272,7 @@ class PromEngine:
             bounds = [self._number(a, grid) for a in args[1:]]
             low, high = {"clamp": (bounds[0], bounds[-1]), "clamp_min": (bounds[0], math.inf), "clamp_max": (-math.inf, bounds[0])}[name]
             df = v.df.where(F.lit(not low > high))
-            clamped = N.NAN if math.isnan(low) or math.isnan(high) else F.when(F.isnan(value), value).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
+            clamped = N.nan() if math.isnan(low) or math.isnan(high) else F.when(F.isnan(value), value).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
             return Value(self._nameless(df.withColumn("value", clamped)))
         if name == "round":
             to = 1 / (self._number(args[1], grid) if len(args) > 1 else 1.0)
@@ -433,5 +433,5 @@ def histogram_quantile(df: DataFrame, q: float) -> DataFrame:
     below = F.when(k > 0, F.get(b, k - 1)["value"]).otherwise(0.0)
     top, count = F.get(b, k)["le"], F.get(b, k)["value"] - below
     inside = low + (top - low) * (rank - below) / F.when(count != 0, count)
-    value = F.when((n < 2) | (F.get(b, n - 1)["le"] != float("inf")) | (total == 0), N.NAN).when(F.lit(q < 0), -N.INF).when(F.lit(q > 1), N.INF).when(k >= n - 1, F.get(b, n - 2)["le"]).when((k == 0) & (top <= 0), top).otherwise(inside)
+    value = F.when((n < 2) | (F.get(b, n - 1)["le"] != float("inf")) | (total == 0), N.nan()).when(F.lit(q < 0), -N.inf()).when(F.lit(q > 1), N.inf()).when(k >= n - 1, F.get(b, n - 2)["le"]).when((k == 0) & (top <= 0), top).otherwise(inside)
     return rows.select("labels", "step_ms", value.alias("value"))
