@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.labels import java
+from ..functions.labels import java, key
 from ..plans import traceql as T
 from ..plans.lexer import QueryError
 from .grid import Grid
@@ -60,10 +60,10 @@ class TraceEngine:
         if e.op in ("&&", "||"):
             return _field("bool", a.truth & b.truth if e.op == "&&" else a.truth | b.truth)
         if e.op in ("+", "-", "*", "/", "%", "^"):
-            x, y = (F.coalesce(f.number, N.NAN) for f in (a, b))
+            x, y = (F.coalesce(f.number, N.nan()) for f in (a, b))
             made = N.arithmetic(e.op, x, y)
             if e.op in "/%":  # a zero dividend gives NaN
-                made = F.when(x == 0, N.NAN).otherwise(made)
+                made = F.when(x == 0, N.nan()).otherwise(made)
             return _field("number", made)
         if e.op in ("=~", "!~"):
             hit = a.text.rlike(java(e.right.value))
@@ -255,13 +255,17 @@ class TraceEngine:
     # beyond spans
 
     def metrics(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
-        """(labels, step_ms, value) of a query that ends in a metrics stage; each step counts the spans that start in it."""
+        """(labels, step_ms, value) of a query with a metrics stage; each step counts the spans that start in it.
+
+        What follows the stage picks series: a comparison with a number, topk and bottomk of each step.
+        """
         tree = T.parse(query)
-        if not isinstance(tree, T.Pipeline) or tree.stages[-1][0] != "metric":
+        at = next((k for k, s in enumerate(tree.stages) if s[0] == "metric"), None) if isinstance(tree, T.Pipeline) else None
+        if at is None:
             raise QueryError("not a metrics query")
-        _, name, args, by = tree.stages[-1]
+        _, name, args, by = tree.stages[at]
         needs = self._needs(tree)
-        df = self._eval(T.Pipeline(tree.spans, tree.stages[:-1]) if tree.stages[:-1] else tree.spans, needs)
+        df = self._eval(T.Pipeline(tree.spans, tree.stages[:at]) if at else tree.spans, needs)
         labels = [x for k, f in enumerate(by) for x in (F.lit(getattr(f, "name", str(k))), F.coalesce(self.compile(f).text, F.lit("nil")))]
         value = self.compile(args[0]).number if args else F.lit(1.0)
         rows = df.select((F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")).alias("labels"), F.ceil(F.col("start_ns") / 10**6).cast("long").alias("ts_ms"), value.alias("value"))
@@ -269,7 +273,16 @@ class TraceEngine:
         made = {"rate": F.count("*") / (step_ms / 1000.0), "count_over_time": F.count("*").cast("double"), "min_over_time": F.min(v), "max_over_time": F.max(v), "sum_over_time": F.sum(v), "avg_over_time": F.avg(v)}.get(name)
         if name == "quantile_over_time":
             made = N.quantile(float(args[1].value), v)
-        return Grid(start_ms, end_ms, step_ms).fan_out(rows, step_ms).groupBy("labels", "step_ms").agg(made.alias("value"))
+        out = Grid(start_ms, end_ms, step_ms).fan_out(rows, step_ms).groupBy("labels", "step_ms").agg(made.alias("value"))
+        for stage in tree.stages[at + 1 :]:
+            if stage[0] == "compare":
+                out = out.where(N.compare("==" if stage[1] == "=" else stage[1], v, F.lit(stage[2])))
+            elif stage[0] == "top":
+                w = Window.partitionBy("step_ms").orderBy(F.isnan(v), v.desc() if stage[1] == "topk" else v.asc(), key(F.col("labels")))
+                out = out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= stage[2]).drop("nth")
+            else:
+                raise QueryError("only comparisons, topk and bottomk follow a metrics stage")
+        return out
 
     def tag_names(self) -> DataFrame:
         parts = [self.spans.select(F.lit(scope).alias("scope"), F.explode(F.map_keys(c)).alias("tag")) for scope, c in (("span", "attributes"), ("resource", "resource_attributes"), ("instrumentation", "scope_attributes"))]

@@ -215,6 +215,10 @@ QUERIES["O7_search"] = _search
 ORACLE["O7_search"] = f"{_SP} select tid as trace_id, max(case when k = 0 then name end) as root_name, count(case when st = 'error' then 1 end) as matched from p where c in (select c from p where st = 'error') group by tid, c order by c limit 20"
 QUERIES["A16_metrics"] = lambda spark, d: _flat(TraceEngine(demo.spans(spark, d)).metrics("{ } | count_over_time() by (name)", 0, 200_000, 10_000), ("name",))
 ORACLE["A16_metrics"] = f"{_SP}, g as (select range as t from range(0, 200001, 10000)) select name, t as step_ms, count(*)::double as value from p join g on c * 1000 + k > t - 10000 and c * 1000 + k <= t group by name, t"
+_COUNTS = f"{_SP}, g as (select range as t from range(0, 200001, 10000)), x as (select name, t, count(*)::double as v from p join g on c * 1000 + k > t - 10000 and c * 1000 + k <= t group by name, t)"
+for _key, _stage, _where in (("topk", "| topk(1)", "n = 1"), ("bottomk", "| bottomk(1)", "m = 1"), ("filter", "> 3", "v > 3"), ("filter_topk", "> 3 | topk(1)", "v > 3 and n = 1")):
+    QUERIES[f"A18_{_key}"] = lambda spark, d, q="{ } | count_over_time() by (name) " + _stage: _flat(TraceEngine(demo.spans(spark, d)).metrics(q, 0, 200_000, 10_000), ("name",))
+    ORACLE[f"A18_{_key}"] = f"{_COUNTS} select name, t as step_ms, v as value from (select *, row_number() over (partition by t order by v desc, name) as n, row_number() over (partition by t order by v, name) as m from x) where {_where}"
 QUERIES["M13_tag_names"] = lambda spark, d: TraceEngine(demo.spans(spark, d)).tag_names()
 
 # profiles

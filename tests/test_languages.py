@@ -86,7 +86,7 @@ def test_flamebearer():
     assert levels[0] == [0, 10, 0, 0] and levels[1][:3] == [0, 7, 4]
 
 
-@pytest.mark.parametrize("parse,bad", [(promql.parse, "sum("), (promql.parse, "rate(a[5m]"), (logql.parse, "topk(0, rate({a=\"b\"}[1m]))"), (logql.parse, "sum_over_time({a=\"b\"}[1m])"), (traceql.parse, "{ .a = "), (profileql.parse, "a:b{}")])
+@pytest.mark.parametrize("parse,bad", [(promql.parse, "sum("), (promql.parse, "rate(a[5m]"), (logql.parse, "topk(0, rate({a=\"b\"}[1m]))"), (logql.parse, "sum_over_time({a=\"b\"}[1m])"), (traceql.parse, "{ .a = "), (traceql.parse, "{ } | topk(2)"), (traceql.parse, "{ } | rate() | topk(0)"), (traceql.parse, "{ } | rate() > name"), (profileql.parse, "a:b{}")])
 def test_errors(parse, bad):
     with pytest.raises(QueryError):
         parse(bad)
