@@ -17,10 +17,10 @@ from ..functions import numbers as N
 from ..functions.labels import java, key
 from ..plans import traceql as T
 from ..plans.lexer import QueryError
+from ..session import cut_lineage
 from .grid import Grid
 
 NUMERIC = {"number", "duration"}
-DEPTH = 64
 
 
 @dataclass(frozen=True)
@@ -225,32 +225,48 @@ class TraceEngine:
             there = a.select("trace_id").distinct().join(b.select("trace_id").distinct(), "trace_id", "left_semi")
             return both.join(there, "trace_id", "left_semi")
         op = e.op.lstrip("!&")
-        pairs = self._pairs(op, a, b)
-        right = b.join(pairs.select("trace_id", F.col("r").alias("span_id")).distinct(), ids, "left_anti" if e.op[0] == "!" else "left_semi")
+        met, meets = (self._lines if op in (">>", "<<") else self._neighbours)(op, a, b)
+        right = b.join(met, ids, "left_anti" if e.op[0] == "!" else "left_semi")
         if e.op[0] != "&":
             return right
-        left = a.join(pairs.select("trace_id", F.col("l").alias("span_id")).distinct(), ids, "left_semi")
+        left = a.join(meets, ids, "left_semi")
         return left.unionByName(right, allowMissingColumns=True).dropDuplicates(ids)
 
-    def _pairs(self, op: str, a: DataFrame, b: DataFrame) -> DataFrame:
-        """(trace_id, l, r): spans of the left and right that stand as op says."""
+    def _neighbours(self, op: str, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(trace_id, span_id) of the spans of b, and of a, that have one of the other side next to them."""
         left = a.select("trace_id", F.col("span_id").alias("l"), F.coalesce("parent_span_id", F.lit("")).alias("lp"))
         right = b.select("trace_id", F.col("span_id").alias("r"), F.coalesce("parent_span_id", F.lit("")).alias("rp"))
-        if op in (">", "<"):
-            on = right["rp"] == left["l"] if op == ">" else left["lp"] == right["r"]
-            return left.join(right, (left["trace_id"] == right["trace_id"]) & on).select(left["trace_id"], "l", "r")
-        if op == "~":
-            return left.join(right, (left["trace_id"] == right["trace_id"]) & (left["lp"] == right["rp"])).select(left["trace_id"], "l", "r")
-        # ancestors, through spans of either side only: the paths double in length each round
-        seen = a.select("trace_id", "span_id", "parent_span_id").unionByName(b.select("trace_id", "span_id", "parent_span_id")).distinct()
-        up = seen.where("parent_span_id is not null").select("trace_id", F.col("span_id").alias("x"), F.col("parent_span_id").alias("y"), F.lit(1).alias("d"))
-        for _ in range(DEPTH.bit_length() - 1):
-            nxt = up.select("trace_id", F.col("x").alias("y"), F.col("y").alias("z"), F.col("d").alias("e"))
-            longer = up.join(nxt, ["trace_id", "y"]).select("trace_id", "x", F.col("z").alias("y"), (F.col("d") + F.col("e")).alias("d")).where("x <> y")
-            up = up.unionByName(longer).groupBy("trace_id", "x", "y").agg(F.min("d").alias("d"))
-        below, above = ("r", "l") if op == ">>" else ("l", "r")
-        pairs = up.select("trace_id", F.col("x").alias(below), F.col("y").alias(above))
-        return pairs.join(left.select("trace_id", "l"), ["trace_id", "l"], "left_semi").join(right.select("trace_id", "r"), ["trace_id", "r"], "left_semi").select("trace_id", "l", "r")
+        on = {">": right["rp"] == left["l"], "<": left["lp"] == right["r"], "~": left["lp"] == right["rp"]}[op]
+        pairs = left.join(right, (left["trace_id"] == right["trace_id"]) & on).select(left["trace_id"], "l", "r")
+        met, meets = (pairs.select("trace_id", F.col(k).alias("span_id")).distinct() for k in "rl")
+        return met, meets
+
+    def _lines(self, op: str, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(trace_id, span_id) of the spans of b, and of a, that have one of the other side above or below them.
+
+        Lines of descent pass through spans of either side only. A span stays one row: each round doubles how
+        far up its pointer reaches and takes over whether a span of the upper side was passed (up), and tells
+        the pointer's span whether one of the lower side was (down), until all lines are at their top or as long as
+        the largest trace. A round is written, so plans stay small. Spans in a cycle of parents are above and below each other.
+        """
+        ids = ["trace_id", "span_id"]
+        upper, lower = (a, b) if op == ">>" else (b, a)
+        sides = [df.select(*ids, "parent_span_id", F.lit(k == 0).alias("top"), F.lit(k == 1).alias("low")) for k, df in enumerate((upper, lower))]
+        spans = sides[0].unionByName(sides[1]).groupBy(*ids).agg(F.min("parent_span_id").alias("ptr"), F.max("top").alias("top"), F.max("low").alias("low"))
+        spans = cut_lineage(spans.withColumn("ptr", F.when(F.col("ptr") != F.col("span_id"), F.col("ptr"))))
+        none = F.lit(False)
+        now = spans.withColumns({"up": none, "down": none})
+        longest = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+        for turn in range(longest.bit_length() + 1):
+            above = now.select("trace_id", F.col("span_id").alias("ptr"), F.col("ptr" if turn else "span_id").alias("next"), F.col("up" if turn else "top").alias("passed"))
+            below = now.where("ptr is not null").groupBy("trace_id", F.col("ptr").alias("span_id")).agg(F.max("down" if turn else "low").alias("told"))
+            step = now.join(above, ["trace_id", "ptr"], "left").join(below, ids, "left")
+            up, down = (F.col(x) | F.coalesce(y, none) for x, y in (("up", "passed"), ("down", "told")))
+            now = cut_lineage(step.select(*ids, F.col("next").alias("ptr"), "top", "low", up.alias("up"), down.alias("down")))
+            if not now.where("ptr is not null").limit(1).count():
+                break
+        under, over = now.where("low and up").select(*ids), now.where("top and down").select(*ids)
+        return (under, over) if op == ">>" else (over, under)
 
     # beyond spans
 

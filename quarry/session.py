@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -26,6 +26,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._quarry_shipped = True
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
+
+
 def settings() -> dict[str, str]:
     """Settings the engine is built for; a cluster's own values win."""
     return {
