@@ -245,43 +245,15 @@ def _open(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _across(records: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of different components that share a key."""
-    of = records.select("id", F.when(F.col("whole") != 0, F.col("whole")).otherwise(F.col("key")).alias("key")).join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _salted(ws: Workspace, records: DataFrame) -> DataFrame:
+    """(a, b): the ids b of each key a that was dealt out in salts; of keys with the same ids one is enough."""
+    every = ws.keep(records.where("whole <> 0").select(F.col("whole").alias("a"), F.col("id").alias("b")).distinct(), "salted")
+    marks = [F.sum(F.xxhash64("b", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in range(2)]
+    per = every.groupBy("a").agg(F.count("*").alias("n"), *marks)
+    return restrict(every, ws.keep(per.groupBy("n", "m0", "m1").agg(F.min("a").alias("a")).select("a"), "salted-keys"), "a").select("a", "b")
 
-    def flush(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["a", "b"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, comps, made, size = None, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        for batch in batches:
-            key, i, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(key):
-                continue
-            at = 0
-            for end in [*np.flatnonzero(runs(key, last)), len(key)]:
-                for k in range(at, end):
-                    other = ids[comps != c[k]]
-                    if len(other):
-                        made.append((np.minimum(other, i[k]), np.maximum(other, i[k])))
-                        size += len(other)
-                    if size > 1 << 16:
-                        yield flush(made)
-                        made, size = [], 0
-                    ids, comps = np.append(ids, i[k]), np.append(comps, c[k])
-                if end < len(key):
-                    ids, comps = ids[:0], comps[:0]
-                at = end
-            last = key[-1]
-        if made:
-            yield flush(made)
-
-    several = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = of.join(several, "key", "left_semi").select("key", "id", "component")
-    return left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across, "a long, b long").where("a <> b").distinct()
-
-
-def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame, bool], DataFrame] | None = None, nearest_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame, bool], DataFrame], nearest_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links among ids that share a key, and their components, without all pairs of any group.
 
     records(ids) gives (key, id, whole) of all ids or of those in a table (id); whole is the key before
@@ -289,9 +261,10 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
 
     In each group ids are first proposed to the smallest only: the centre with the most shared keys, then
     what is still in another component. If members of one centre's groups are then in different components,
-    exactly those are compared with each other: by their keys again, or by arms(members, False), which is given
+    exactly those are compared with each other by arms(members, False), which is given
     (a, b, component) of the centres a that are open and must return all linked pairs of different
-    components that follow one centre (others may be among them). With nearest_first, arms(members, True) is
+    components that follow one centre (others may be among them). A salted key has a centre for each salt, so
+    its ids are given once more as followers of the whole key. With nearest_first, arms(members, True) is
     asked first for a pair or so of each id, the likeliest one: a group of near copies that its centre is too
     far from is then one component before all pairs of different components are asked for. So every two ids
     that share a key end in one component or were compared: the components are those of all links.
@@ -308,22 +281,20 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     component = ws.keep(connected_components(ws, links, "cc2"), "component-2")
     centres = ws.keep(_open(pairs, component).select("a").distinct(), "open")
     members = ws.keep(restrict(pairs, centres, "a").select("a", "b"), "open-members")
-    if arms:
-        met = pairs.select("a", "b")
-
-        def follow() -> DataFrame:
-            of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left")
-            return of.select("a", "b", F.coalesce("component", "b").alias("component"))
-
-        if nearest_first:
-            nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
-            links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
-            component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
-            met = met.unionByName(nearest)
-        rest = arms(follow(), False).join(met, ["a", "b"], "left_anti")
-    else:
-        rest = _across(records(ws.keep(members.select(F.col("b").alias("id")).distinct(), "open-ids")), component)
-        rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    if tops.limit(1).count():
+        members = members.unionByName(_salted(ws, records(None)))
+    met = pairs.select("a", "b")
+
+    def follow() -> DataFrame:
+        of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left")
+        return of.select("a", "b", F.coalesce("component", "b").alias("component"))
+
+    if nearest_first:
+        nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
+        links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
+        component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
+        met = met.unionByName(nearest)
+    rest = arms(follow(), False).join(met, ["a", "b"], "left_anti")
     links = ws.keep(links.unionByName(verify(rest, "rest")), "links-3")
     component = ws.keep(connected_components(ws, links, "cc3"), "component-3")
     ws.drop("stars", "tops", "candidates")

@@ -41,6 +41,8 @@ TOGETHER = 2048
 SHORT = 32
 #: A counter this many times the mean is of a frequent word.
 FREQUENT = 8
+#: Sets of one frequent word that get a salt of their own.
+SHARE = 4096
 STRETCH = 1.25
 
 
@@ -233,7 +235,7 @@ class ParityJoin:
     def _records(self, sets: DataFrame) -> DataFrame:
         """(key, id, whole): a row for each word with which a set joins; whole: the key before salting."""
         slots, counts = self.frequent
-        share = max(4096, int(counts.min(initial=0)))
+        share = SHARE
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -74,6 +74,16 @@ def test_parity_join(docs, rows, none):
     assert parity_join.ParityJoin(none).classes().count() == 0
 
 
+def test_parity_join_across_salts(spark, monkeypatch):
+    """Sets that share only salted words, too far from the salts' smallest ids, and linked with each other."""
+    monkeypatch.setattr(parity_join, "SHARE", 50)  # two salts for each
+    stock = [f"w{k}" for k in range(404)]
+    texts = [" ".join(stock + [f"u{i}-{k}" for k in range(90 if i < 60 else 49)]) for i in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in parity_join.ParityJoin(frame).classes().collect()}
+    assert got == {i: min(i, 60) for i in range(120)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), max_size=15), st.integers(0, 9))
 def test_sketches_bound_differences(a, change, seed):
