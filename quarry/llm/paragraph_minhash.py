@@ -1,13 +1,17 @@
-"""Paragraph deduplication by MinHash banding.
+"""Paragraph deduplication by MinHash banding, then of runs of words that no paragraph's bounds show.
 
 A text's paragraphs are its lines; a line of more than ``LONG`` words is cut further at sentence ends that its
 words choose (by hash), so that a passage gets the same cuts wherever it stands. Lines of ``MIN_WORDS`` or more
-words take part (shorter ones are the stock phrases of ordinary text), and of long lines pieces of
-``MIN_PIECE`` or more. Equal ones (lower-cased words) are one class, whatever their number. Classes are
+words take part, and of long lines pieces of ``MIN_PIECE`` or more. Equal ones (lower-cased words) are one class, whatever their number. Classes are
 sets of distinct 5-word shingles; bands of MinHash values, tuned for the recall asked for, propose pairs of
 classes (stars, see ``star_join``); whole sets verify them; components of links are clusters. The first
 paragraph of a cluster (by doc_id, then place) stays, all others are removed.
 
+What is left is read once more as runs of ``RUN`` words that start at anchors, with no regard to lines or
+sentences. A word is an anchor if the ``SHINGLE`` words from it have the least hash of ``GAP`` neighbours
+(winnowing), so a passage has the same anchors wherever it stands, and one of 2 * GAP + RUN - 2 words (50) holds
+a whole run. Of equal runs (lower-cased words) the first stays, all others are removed.
+
 A class with fewer shingles than a link between different sets needs, at one shingle apart, is joined by
 equality only: banding could not link it.
 
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, Workspace, cut, grams, merge, mix, named, portions, restrict, span_array, star_join
+from .common import U, Words, Workspace, cut, grams, merge, mix, named, portions, restrict, signed, span_array, spans_by_row, star_join
 from .parity_join import near_arms, sketch
 
 LONG = 60
-MIN_WORDS = 20
+MIN_WORDS = 5
 MIN_PIECE = 8
 SHINGLE = 5
+RUN = 20
+GAP = 16
 PERCENT = 80
 
 
@@ -72,6 +78,30 @@ def paragraphs(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.nd
     return words, text[first], first, last
 
 
+def anchored(words: Words, text: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the runs of RUN words at anchors, and a hash of each. text and stretch: numbers for each word; a run keeps to one stretch."""
+    n = len(words) - RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    every = grams(words.hash, SHINGLE)
+    here = np.arange(len(every)) + (text[: len(every)] + 1) * (GAP - 1)  # so far apart, no text sees another one's hashes
+    apart = np.full(here[-1] + GAP, ~U(0))
+    inside = text[: len(every)] == text[SHINGLE - 1 :]
+    apart[here[inside]] = every[inside]
+    best, least = apart[GAP - 1 :].copy(), np.arange(GAP - 1, len(apart))
+    for k in range(1, GAP):  # the last of equal ones
+        other = apart[GAP - 1 - k : len(apart) - k]
+        less = other < best
+        best[less] = other[less]
+        least[less] = np.flatnonzero(less) + GAP - 1 - k
+    chosen = np.zeros(len(apart), bool)
+    chosen[least] = True
+    at = np.flatnonzero(chosen[here] & inside)
+    at = at[at < n]
+    at = at[stretch[at] == stretch[at + RUN - 1]]
+    return at, _uids(words, at, at + RUN)
+
+
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
     """Band keys of each set (BANDS columns)."""
     x = np.concatenate(sets)
@@ -200,9 +230,41 @@ class ParagraphDedup:
         here = F.struct("rid", "tie", "place")
         return units.join(clusters, "uid").select("rid", "tie", "a", "b", (here != F.col("first")).alias("gone"))
 
+    def _runs(self, removed: DataFrame) -> DataFrame:
+        """(rid, tie, place, a, b, uid): every anchored run of words that keeps clear of the spans removed (a, b)."""
+        rows = spans_by_row(self.ws, self.docs, removed)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in portions(batches, most=1 << 17):
+                words = Words(texts)
+                text = np.searchsorted(words.first, np.arange(len(words)), "right") - 1
+                spans = [merge(span_array(x)) + t for x, t in zip(batch.column("spans").to_pylist(), words.begins.tolist(), strict=False)]
+                spans = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
+                begun, over = (np.searchsorted(spans[:, k], words.starts, "right") for k in range(2))
+                # words in a span are alone in their stretch, others share it up to the next span or text
+                new = np.diff(text, prepend=-1) | np.diff(begun, prepend=0) | (begun > over) | np.diff(over, prepend=0)
+                at, uid = anchored(words, text, np.cumsum(new != 0))
+                if not len(at):
+                    continue
+                text, a, b = text[at], words.starts[at], words.ends[at + RUN - 1]
+                rid, tie = (batch.column(k).to_numpy()[text] for k in ("rid", "tie"))
+                place, a, b = (pa.array(x.astype(np.int32)) for x in (at - words.first[text], a - words.begins[text], b - words.begins[text]))
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(tie), place, a, b, signed(uid)], ["rid", "tie", "place", "a", "b", "uid"])
+
+        return rows.select("rid", "tie", "text", "spans").mapInArrow(read, "rid long, tie long, place int, a int, b int, uid long")
+
+    def repeats(self, removed: DataFrame) -> DataFrame:
+        """(rid, tie, a, b, gone) of each run of words that is left and repeats; gone: not the first of its kind."""
+        runs = self.ws.keep(self._runs(removed), "runs")
+        here = F.struct("rid", "tie", "place")
+        many = runs.groupBy("uid").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
+        many = self.ws.keep(many.select("uid", "first"), "repeated-runs")
+        return restrict(runs, many.select("uid"), "uid").join(many, "uid").select("rid", "tie", "a", "b", (here != F.col("first")).alias("gone"))
+
     def rows(self) -> DataFrame:
-        """Documents with a repeated paragraph: doc_id, n_repeated, n_removed, removed_bytes, kept_sha256, kept."""
+        """Documents with a repeated paragraph or run: doc_id, n_repeated, n_removed (of both), removed_bytes, kept_sha256, kept."""
         found = self.ws.keep(self.removals(), "removals")
+        found = found.unionByName(self.ws.keep(self.repeats(found.where("gone").select("rid", "tie", "a", "b")), "repeats"))
         counts = found.groupBy("rid", "tie").agg(F.count("*").alias("n_repeated"), F.sum(F.col("gone").cast("long")).alias("n_removed"))
         per = found.where("gone").groupBy("rid", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
         both = self.ws.keep(counts.join(per, ["rid", "tie"], "left"), "by-row")

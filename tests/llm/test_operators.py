@@ -197,6 +197,55 @@ def test_paragraph_minhash(docs, rows, none):
     assert 1 - (1 - 0.8**size) ** bands >= 0.99
 
 
+def test_repeated_passages(spark):
+    """Each passage of 50 words repeats: in long lines without stops, in lines of 60 words, over short lines; short lines as wholes."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    texts, lost = [], {}
+    for k in range(24):
+        p = some(50)
+        for turn in range(2):
+            if k % 3 == 0:
+                w = [*some(45), *p, *some(45)]
+            elif k % 3 == 1:
+                w = [*some(4 + turn), *p, *some(6 - turn)]
+            else:
+                w = [*p, *some(3)]
+                w = [x + ("\n" if j % (4 + turn) == 3 else "") for j, x in enumerate(w)]
+            texts.append(" ".join(w))
+            if turn:
+                lost[len(texts) - 1] = p
+    texts += [f"{' '.join(some(30))}\n{line}\n{' '.join(some(30))}" for line in [" ".join(some(6))] for _ in range(2)]
+    lost[len(texts) - 1] = texts[-1].split("\n")[1].split()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in paragraph_minhash.ParagraphDedup(frame).rows().collect()}
+    for k, t in enumerate(texts):
+        gone = Counter(_words(t)) - Counter(_words(got.get(k, t)))
+        assert set(gone) <= set(lost.get(k, ())), k
+        assert k not in lost or sum(gone.values()) >= min(20, len(lost[k])), k
+    assert got == {r.doc_id: bytes(r.kept).decode() for r in paragraph_minhash.ParagraphDedup(frame.repartition(7)).rows().collect()}
+
+
+def test_anchored_runs():
+    """A passage of 50 words has a run in common wherever it stands, and a text's runs don't depend on the texts around it."""
+    rnd = random.Random(2)
+    some = lambda n: [str(rnd.randrange(10**6)) for _ in range(n)]
+
+    def runs(*texts):
+        words = paragraph_minhash.Words([" ".join(t).encode() for t in texts])
+        text = np.searchsorted(words.first, np.arange(len(words)), "right") - 1
+        at, uid = paragraph_minhash.anchored(words, text, text)
+        return [set(uid[text[at] == k].tolist()) for k in range(len(texts))]
+
+    for _ in range(300):
+        p = some(50)
+        x, y = some(rnd.randrange(30)) + p + some(rnd.randrange(30)), some(rnd.randrange(30)) + p + some(rnd.randrange(30))
+        both = runs(x, [], y)
+        assert both[0] & both[2] and both[0] == runs(x)[0] and both[2] == runs(y, x)[0]
+    assert runs(["a"] * 19, ["a"] * 19) == [set(), set()]
+
+
 def test_paragraph_clusters(spark, monkeypatch):
     """Chains of near copies, whose ends are far apart: clusters are the components of all links between sets."""
     asked = []
