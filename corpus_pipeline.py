@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies; rows without doc_id stay."""
     ws = Workspace(spark)
-    classes = ws.keep(parity_join.ParityJoin(docs).classes(), "classes")
+    classes = ws.keep(parity_join.ParityJoin(docs).classes(counted=False), "classes")
     spare = ws.keep(classes.where("doc_id <> component_id").select("doc_id").distinct(), "spare")
     kept = restrict(docs, spare, "doc_id", "left_anti")
     twice = ws.keep(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Workspace, mix, portions, restrict, shingle_sets, signed, star_join
+from .common import BROADCAST_IDS, U, Workspace, mix, portions, restrict, shingle_sets, signed, star_join
 
 #: Counters for words that many sets share: memory is fixed, all words are counted.
 SLOTS = 1 << 19
 #: Sets of one centre that one task compares.
 TOGETHER = 2048
+#: Shingles of one block of a component, whose links one task counts with those to another block.
+BLOCK = 1 << 19
 #: Sketches of so many bytes are compared whole; longer ones are folded.
 SHORT = 32
 #: A counter this many times the mean is of a frequent word.
@@ -168,6 +170,38 @@ def near_arms(members: DataFrame, sets: DataFrame, percent: int, nearest: bool =
     return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def count_links(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], across: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and with how many others each is linked (across: of the other block)."""
+    size = np.array([len(x) for x in sets])
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.diff(value, prepend=value[:1] + U(1)) != 0
+    first = np.flatnonzero(new)
+    much = np.diff(np.append(first, len(value)))
+    rank = np.empty(len(value), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    distinct, of = np.unique(ids, return_inverse=True)
+    found, repeats, at = np.zeros(len(distinct), np.int64), len(distinct) < len(ids), 0
+    partners: dict[int, list[np.ndarray]] = {}
+    for k, n in enumerate(size.tolist()):
+        r = rank[at : at + n]
+        at += n
+        r = r[much[r] > 1]
+        m = much[r]
+        shared = np.bincount(owner[np.repeat(first[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(sets))
+        near = (100 * shared >= percent * (n + size - shared)) & (ids != ids[k])
+        if across:
+            near &= block != block[k]
+        if repeats:  # an id of several texts: each partner counts once
+            partners.setdefault(of[k], []).append(of[near])
+        else:
+            found[of[k]] = near.sum()
+    for k, x in partners.items():
+        found[k] = len(np.unique(np.concatenate(x)))
+    return distinct, found
+
+
 class ParityJoin:
     """``classes()`` gives doc_id, n_shingles, n_links, component_id for each row of docs (doc_id, text)."""
 
@@ -301,7 +335,7 @@ class ParityJoin:
         return self.ws.keep(meet(close, shingles, ["shingles"]).mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
 
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(rows of docs with their class, links (a, b) between class representatives, components)."""
+        """(rows of docs with their class, links (a, b) of class representatives that settle the components, components)."""
         ws = self.ws
         read = ws.keep(self._read(), "read")
         classes = read.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -317,15 +351,65 @@ class ParityJoin:
         ws.drop("read")
         return rows, links, component
 
-    def classes(self) -> DataFrame:
-        rows, links, component = self.links()
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    def degrees(self, rows: DataFrame, component: DataFrame) -> DataFrame:
+        """(rep, n_links): all links between class representatives, also of those in one component from the start.
+
+        Both ends of a link are in one component, so each pair meets once: in its component, or in one pair of
+        its blocks. The task intersects whole sets by their shingles' owners; only counts leave it.
+        """
+        ws, n, percent = self.ws, self.n, self.percent
+        reps = rows.where("doc_id = rep").select(F.col("doc_id").alias("id"), "n").distinct().join(component, "id")
+        per = reps.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        place = ws.keep(component.join(per, "component").select("id", "component", "blocks"), "places")
+        other = restrict(rows.where("doc_id <> rep").select(F.col("doc_id").alias("id"), "n", "f1", "f2"), place.select("id"), "id")
+        other = ws.keep(other.distinct(), "other-classes")  # texts of a placed id that another id stands for
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(place) if place.count() <= BROADCAST_IDS // 4 else place, "id")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in portions(batches):
+                sets = list(shingle_sets(texts, n))
+                with np.errstate(over="ignore"):
+                    marks = [(len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + U(7))).view(np.int64))) if len(s) else (0, 0, 0) for s in sets]
+                columns = [batch.column(k) for k in ("id", "component", "blocks")]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*marks, strict=True)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "component", "blocks", "n", "f1", "f2", "shingles"])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held = None, []
+
+            def flush() -> tuple[np.ndarray, np.ndarray]:
+                ids, block, sets = zip(*held, strict=True)
+                return count_links(np.array(ids, np.int64), np.array(block), list(sets), group[1] != group[2], percent)
+
+            for batch in batches:
+                out = []
+                for c, lo, hi, i, x, s in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                    if group != (c, lo, hi):
+                        if held:
+                            out.append(flush())
+                        group, held = (c, lo, hi), []
+                    held.append((x, i, np.frombuffer(s, U)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], ["rep", "n_links"])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in flush()], ["rep", "n_links"])
+
+        sets = texts.select("id", "component", "blocks", "text").mapInArrow(whole, "id long, component long, blocks int, n long, f1 long, f2 long, shingles binary").where("n > 0")
+        sets = restrict(sets, other, ["id", "n", "f1", "f2"], "left_anti").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        sets = sets.select("id", "component", "i", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        sets = sets.select("component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "shingles")
+        counts = sets.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(count, "rep long, n_links long")
+        return ws.keep(counts.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "degrees")
+
+    def classes(self, counted: bool = True) -> DataFrame:
+        """counted: with n_links; else it is null."""
+        rows, _, component = self.links()
+        degree = self.degrees(rows, component) if counted else component.select(F.col("id").alias("rep"), F.lit(None).cast("long").alias("n_links"))
         of = component.select(F.col("id").alias("rep"), "component").join(degree, "rep", "left")
         out = rows.join(of, "rep", "left").select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links"),
             F.col("copies").alias("n_copies"),
         )
         return out

@@ -74,6 +74,30 @@ def test_parity_join(docs, rows, none):
     assert parity_join.ParityJoin(none).classes().count() == 0
 
 
+@pytest.mark.parametrize("block", [parity_join.BLOCK, 700])
+def test_parity_join_counts_all_links(spark, docs, rows, block, monkeypatch):
+    """n_links is the number of other texts (by their smallest ids) that a text is linked with."""
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    more = [(1000 + k, " ".join(w if rnd.random() < 0.994 else f"x{k}-{j}" for j, w in enumerate(base))) for k in range(24)]
+    more += [(1100, more[3][1]), (1005, more[9][1]), (1006, more[6][1]), (1007, " ".join([*base[:88], "one", "other"]))]
+    some = [(r[0], r[1]) for r in rows] + more
+    least = {}
+    for i, t in some:
+        if i is not None and _set(t):
+            least[_set(t)] = min(i, least.get(_set(t), i))
+    links = {i: set() for i in least.values()}
+    for x, a in least.items():
+        for y, b in least.items():
+            if a != b and 100 * len(x & y) >= 80 * len(x | y):
+                links[a].add(b)
+    got = parity_join.ParityJoin(spark.createDataFrame(some, "doc_id long, text string")).classes().collect()
+    want = Counter((i, len(_set(t)), len(links[least[_set(t)]]) if i is not None and _set(t) else 0) for i, t in some)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert max(map(len, links.values())) > 6
+
+
 def test_parity_join_across_salts(spark, monkeypatch):
     """Sets that share only salted words, too far from the salts' smallest ids, and linked with each other."""
     monkeypatch.setattr(parity_join, "SHARE", 50)  # two salts for each
