@@ -113,7 +113,7 @@ LOWER[65:91] += 32
 class Words:
     """The words of some texts: ``first[i]:first[i + 1]`` are those of text i; ``hash`` has a value for each word."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True, separates: np.ndarray = SEPARATES):
+    def __init__(self, texts: list[bytes], lower: bool = True, separates: np.ndarray = SEPARATES, hashed: bool = True):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         if lower:
             data = LOWER[data]
@@ -122,7 +122,7 @@ class Words:
         self.data, self.starts, self.ends = data, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         self.first = np.searchsorted(self.starts, self.begins)
-        self.hash = rolling(data)(self.starts, self.ends)
+        self.hash = rolling(data)(self.starts, self.ends) if hashed else None
 
     def __len__(self) -> int:
         return len(self.starts)

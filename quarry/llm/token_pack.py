@@ -15,6 +15,7 @@ null doc_ids come first; equal rows are neighbours; an empty table writes an emp
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Workspace, portions
+from .common import U, Words, Workspace, mix, portions
 
 #: Fixed values of Simple-8b: ids in a word and bits of each, by selector.
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -118,33 +119,82 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, at: np.ndarray, value
 
 #: Stands between words that are encoded in one go; one id, which only itself gives.
 MARK = b"\x01"
-TOGETHER = 50
+TOGETHER = 300
+#: Fixed value: a pre-tokenizer's pattern after which a stop that follows a letter or digit is a piece of its own.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STOPS = np.isin(np.arange(256), list(b".,;:!?"))
+PLAIN = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-class WordCache(dict):
-    """Ids of white-space separated pieces, each encoded once; emptied when it has more than ``most``."""
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, and what it is of: the size and the first 16 bytes (four rows)."""
+    size = ends - starts
+    eight = np.ndarray((len(data) + 9,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), 0, (1,))
+    low, high = eight[starts] & _LOW_BYTES[np.minimum(size, 8)], eight[np.minimum(starts + 8, len(data))] & _LOW_BYTES[np.clip(size - 8, 0, 8)]
+    with np.errstate(over="ignore"):
+        return np.stack([mix(low + U(0x9E3779B97F4A7C15) * high + size.astype(U)), low, high, size.astype(U)])
+
+
+class WordCache:
+    """Ids of white-space separated pieces, each encoded once; emptied when it has more than ``most``.
+
+    Pieces of up to 16 bytes are found by hash in a sorted table and compared with what stands there; longer ones,
+    and those whose hash is another's, stand in a dictionary. If the tokenizer lower-cases, so are the pieces (A-Z,
+    unless a combining mark could join a letter of one case only, or an added token would appear); if its pattern is PIECES, a single stop at a
+    word's end is a piece of its own. Both leave fewer to encode.
+    """
 
     def __init__(self, tokenizer, end: int, most: int = 1_500_000):
-        super().__init__()
         self.tokenizer, self.end, self.most = tokenizer, end, most
+        form = json.loads(tokenizer.to_str())
+        first, then = ((form[k] or {}) for k in ("normalizer", "pre_tokenizer"))
+        self.added = [t["content"].lower().encode() for t in form["added_tokens"]]
+        self.folds = any(x["type"] == "Lowercase" for x in first.get("normalizers", [first] if first else []))
+        self.stops = any(x.get("pattern", {}).get("Regex") == PIECES for x in then.get("pretokenizers", [then]))
         self._empty()
 
     def _empty(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
+        self.others: dict[bytes, int] = {}
+        self.known, self.piece = np.zeros((4, 0), U), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
         self.first, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
         self.flat[0], self.size[0] = self.end, 1  # piece 0: the end of a document
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self) + 1
-        self.new.append(word)
-        return k
-
-    def _learn(self) -> None:
-        if not self.new:
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word's piece."""
+        marks = spelling(data, starts, ends)
+        _, rep, of = np.unique(marks[0], return_index=True, return_inverse=True)
+        some = marks[:, rep]
+        at = np.searchsorted(self.known[0], some[0])
+        there = np.append(self.known, np.zeros((4, 1), U), 1)[:, np.minimum(at, self.known.shape[1])]
+        taken = (at < self.known.shape[1]) & (there[0] == some[0])
+        short = some[3] <= 16
+        hit = taken & (there == some).all(0) & short
+        new = np.flatnonzero(~taken & short)
+        fresh = [data[a:b].tobytes() for a, b in zip(starts[rep[new]].tolist(), ends[rep[new]].tolist(), strict=True)]
+        found = np.full(len(rep), -1)
+        found[hit] = self.piece[at[hit]]
+        found[new] = self.n + np.arange(len(new))
+        number = found[of]
+        mine = some[:, of]
+        odd = np.flatnonzero((number < 0) | (mine != marks).any(0))
+        blob = {}
+        for k, a, b in zip(odd.tolist(), starts[odd].tolist(), ends[odd].tolist(), strict=True):
+            word = data[a:b].tobytes()
+            if word not in self.others and word not in blob:
+                blob[word] = self.n + len(fresh) + len(blob)
+            number[k] = blob.get(word, -1) if word in blob else self.others[word]
+        self._learn([*fresh, *blob])
+        self.others |= blob
+        self.known = np.insert(self.known, at[new], some[:, new], 1)
+        self.piece = np.insert(self.piece, at[new], found[new])
+        return number
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not words:
             return
-        flat, sizes = self._ids(self.new)
+        flat, sizes = self._ids(words)
         n = len(sizes)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -153,7 +203,7 @@ class WordCache(dict):
         self.flat[self.used : self.used + len(flat)] = flat
         self.first[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + n] = sizes
-        self.used, self.n, self.new = self.used + len(flat), self.n + n, []
+        self.used, self.n = self.used + len(flat), self.n + n
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and the number of each; they are encoded ``TOGETHER`` at a time with a mark between."""
@@ -174,19 +224,22 @@ class WordCache(dict):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
-        if len(self) > self.most:
+        if self.n > self.most:
             self._empty()
-        words, at = [], []
-        for t in texts:
-            words += t.split()
-            at.append(len(words))
-        pieces = np.insert(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), at, 0)
-        self._learn()
+        words = Words(texts, lower=self.folds and not any(b"\xcc" in t or b"\xcd" in t or any(a in t.lower() for a in self.added) for t in texts), hashed=False)
+        data, starts, ends = words.data, words.starts, words.ends
+        if self.stops:
+            before = data[ends - 2]
+            letter = PLAIN[before] | (data[ends - 3] == 0xC3) & (before != 0x97) & (before != 0xB7) & (before >= 0x80) & (ends - starts > 2)
+            cut = ends[STOPS[data[ends - 1]] & letter & (ends - starts > 1)] - 1
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        at = np.searchsorted(starts, words.begins[1:])
+        pieces = np.insert(self._pieces(data, starts, ends), at, 0)
         sizes = self.size[pieces]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[pieces] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = ends[np.array(at, np.int64) + np.arange(len(at))] if at else np.zeros(0, np.int64)
-        return ids, np.diff(stops, prepend=0)
+        stops = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.first[pieces] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        last = stops[at + np.arange(len(at))] if len(at) else np.zeros(0, np.int64)
+        return ids, np.diff(last, prepend=0)
 
 
 _CACHES: dict[tuple, WordCache] = {}
@@ -218,7 +271,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _cache(vocabulary, end)
         seq = first = 0
-        for batch, texts in portions(batches, most=1 << 20):
+        for batch, texts in portions(batches, most=1 << 22):
             ids, sizes = cache.encode(texts)
             doc_ids, part = batch.column("doc_id").to_pylist(), batch.column("part")[0].as_py()
             stops = np.cumsum(sizes)

@@ -338,6 +338,23 @@ def test_token_pack(docs, rows, none):
     assert token_pack.pack_and_read(none, vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("hash_", [None, lambda x: x % np.uint64(5)])
+def test_word_cache(hash_, monkeypatch):
+    """Ids of pieces put together are the tokenizer's of the whole text: stops, cases, combining marks, long words, equal hashes."""
+    from tokenizers import Tokenizer
+
+    if hash_:
+        monkeypatch.setattr(token_pack, "mix", hash_)
+    rnd = random.Random(4)
+    odd = ["J\u030c", "\u0301a", "K\u212a", "\u00c9t\u00e9.", "3.", "...", "a..", "\u00d7.", "\u00bb.", "don't.", "'s!", ".'s", "x" * 16, "x" * 17 + ".", "y" * 300, "\x01", "a\x01b", "\0", "a\0", "a", "A", "\u4e2d\u6587.", "\u3000.", "a\u00a0b,", "STRASSE\u1e9e", "\u03a3\u03a3.", "", "<|endoftext|>", "<|EndOfText|>", "I'M", "x'Re?"]
+    texts = [" ".join(rnd.choice(odd) + rnd.choice(["", "", "q", "Q.", "\n"]) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    tok = Tokenizer.from_file(vocabulary())
+    cache = token_pack.WordCache(tok, 1, most=200)
+    for k in range(0, 300, 30):
+        ids, sizes = cache.encode([t.encode() for t in texts[k : k + 30]])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts[k : k + 30]]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 300), st.integers(0, 2**20), st.integers(0, 2**64 - 1)), max_size=700))
 def test_simple8b(ids):
