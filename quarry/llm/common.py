@@ -22,19 +22,31 @@ from ..session import ship
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Ids that are sent to every executor at most (8 bytes each); beyond it a shuffled join does the work.
 BROADCAST_IDS = 2_000_000
+#: Bytes of an Arrow batch at most, if it has more than one row.
+BATCH = 4 << 20
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """No Arrow batch of this session is larger than ``BATCH`` bytes or one row, so Python workers hold little at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := int(spark.conf.get(key).rstrip("bB"))) > BATCH or now <= 0:
+        spark.conf.set(key, str(BATCH))
+
+
 class Workspace:
     """Tables of one run in the folder all executors share."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         ship(spark)
+        bound_batches(spark)
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             top = getattr(spark, "_quarry_dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
             spark._quarry_dir = top
         self.path = f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -81,7 +93,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(16, int(n).bit_length())
         for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
             p = np.full(size, U(base))
             p[0] = 1

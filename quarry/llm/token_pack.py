@@ -167,18 +167,23 @@ class WordCache:
         _, rep, of = np.unique(marks[0], return_index=True, return_inverse=True)
         some = marks[:, rep]
         at = np.searchsorted(self.known[0], some[0])
-        there = np.append(self.known, np.zeros((4, 1), U), 1)[:, np.minimum(at, self.known.shape[1])]
-        taken = (at < self.known.shape[1]) & (there[0] == some[0])
-        short = some[3] <= 16
-        hit = taken & (there == some).all(0) & short
+        taken, short = np.zeros(len(rep), bool), some[3] <= 16
+        if self.known.shape[1]:
+            there = self.known[:, np.minimum(at, self.known.shape[1] - 1)]
+            taken = (at < self.known.shape[1]) & (there[0] == some[0])
+            hit = taken & (there == some).all(0) & short
+        else:
+            hit = taken
         new = np.flatnonzero(~taken & short)
         fresh = [data[a:b].tobytes() for a, b in zip(starts[rep[new]].tolist(), ends[rep[new]].tolist(), strict=True)]
         found = np.full(len(rep), -1)
         found[hit] = self.piece[at[hit]]
         found[new] = self.n + np.arange(len(new))
         number = found[of]
-        mine = some[:, of]
-        odd = np.flatnonzero((number < 0) | (mine != marks).any(0))
+        odd = number < 0
+        for x, y in zip(some[1:], marks[1:], strict=True):
+            odd |= x[of] != y
+        odd = np.flatnonzero(odd)
         blob = {}
         for k, a, b in zip(odd.tolist(), starts[odd].tolist(), ends[odd].tolist(), strict=True):
             word = data[a:b].tobytes()
@@ -217,8 +222,9 @@ class WordCache:
             return np.concatenate(every), np.array([len(x) for x in every], np.int64)
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        texts = [(b" %b " % MARK).join(words[k : k + TOGETHER]) + b" " + MARK for k in range(0, len(words), TOGETHER)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)])
+        texts = [((b" %b " % MARK).join(words[k : k + TOGETHER]) + b" " + MARK).decode("utf-8") for k in range(0, len(words), TOGETHER)]
+        few = (self.tokenizer.encode_batch_fast(texts[k : k + 16], add_special_tokens=False) for k in range(0, len(texts), 16))
+        flat = np.concatenate([np.array(e.ids, np.uint32) for some in few for e in some])
         at = np.flatnonzero(flat == mark)
         return np.delete(flat, at), np.diff(at, prepend=-1) - 1
 
@@ -271,7 +277,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _cache(vocabulary, end)
         seq = first = 0
-        for batch, texts in portions(batches, most=1 << 22):
+        for batch, texts in portions(batches, most=1 << 21):
             ids, sizes = cache.encode(texts)
             doc_ids, part = batch.column("doc_id").to_pylist(), batch.column("part")[0].as_py()
             stops = np.cumsum(sizes)
