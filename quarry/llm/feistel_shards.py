@@ -81,19 +81,19 @@ def number(df: DataFrame, ws: Workspace, *order: str) -> tuple[DataFrame, int]:
     """df with ``row``, its place from 0 in the order given, and the number of rows."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the boundaries of a range shuffle are sampled anew each time it runs: numbers are taken from what was written
-    written = ws.keep(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
-    sizes = {r["_part"]: r["n"] for r in written.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    written = ws.keep(dealt.withColumns({"shard:part": F.spark_partition_id(), "shard:at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = {r["shard:part"]: r["n"] for r in written.groupBy("shard:part").agg(F.count("*").alias("n")).collect()}
     before = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[k] for k in sorted(sizes)])]).tolist(), strict=False))
-    starts = df.sparkSession.createDataFrame(list(before.items()), "_part int, _start long")
-    rows = written.join(F.broadcast(starts), "_part").withColumn("row", F.col("_start") + F.col("_at"))
-    return rows.drop("_part", "_at", "_start"), sum(sizes.values())
+    starts = df.sparkSession.createDataFrame(list(before.items()), "`shard:part` int, `shard:start` long")
+    rows = written.join(F.broadcast(starts), "shard:part").withColumn("row", F.col("shard:start") + F.col("shard:at"))
+    return rows.drop("shard:part", "shard:at", "shard:start"), sum(sizes.values())
 
 
 def shard(df: DataFrame, shards: int = 24, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df with shard, slot and row."""
     ws = Workspace(df.sparkSession)
-    df = df.drop("shard", "slot", "row", "_tie").withColumn("_tie", F.xxhash64(text))
-    rows, n = number(df, ws, key, "_tie")
+    df = df.drop("shard", "slot", "row", "shard:tie").withColumn("shard:tie", F.xxhash64(text))
+    rows, n = number(df, ws, key, "shard:tie")
 
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
@@ -101,4 +101,4 @@ def shard(df: DataFrame, shards: int = 24, seed: int = 0, key: str = "doc_id", t
             yield pd.DataFrame({"shard": at.astype(np.int32), "slot": slot})
 
     at = F.pandas_udf(place, "shard int, slot long")
-    return rows.withColumn("_place", at("row")).select("*", "_place.shard", "_place.slot").drop("_place", "_tie")
+    return rows.withColumn("shard:place", at("row")).select("*", "shard:place.shard", "shard:place.slot").drop("shard:place", "shard:tie")

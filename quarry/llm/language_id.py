@@ -9,7 +9,9 @@ with numpy: one gather and one prefix sum for each language.
 so every run takes the same). Every row is scored, in full.
 
 Edge cases: null text, or no letter in it: ``und`` with score 0. No labelled row: all are ``und``. Ties go
-to the first language by name. Null doc_id: not held out, and never learnt from. Other columns are ignored.
+to the first language by name. Null doc_id: not held out, and never learnt from. Texts of any length are read
+whole. Repeated rows are judged alike. Other columns are kept on demand and never read; ``lang_pred`` and ``score``
+of the input are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import portions
+from .common import bound_batches, portions
 
 BUCKETS = 1 << 16
 MAX_ROWS = 40_000
+#: A row of the model takes 256 KB on every executor; more labels than there are languages is an error.
+MAX_LANGS = 1000
 UNKNOWN = "und"
 _A, _B, _C = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -70,8 +74,11 @@ class NaiveBayes:
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, seed: int = 0) -> NaiveBayes:
     """docs: text, lang and doc_id of the rows to learn from."""
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    n = rows.count()
+    n, langs = rows.agg(F.count("*"), F.approx_count_distinct("lang")).first()
+    if langs > MAX_LANGS:
+        raise ValueError(f"about {langs} languages are labelled; a model holds {MAX_LANGS} at most")
     if n > max_rows:
         rows = rows.where((F.xxhash64("doc_id", F.lit(seed)) % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * max_rows / n))
 
@@ -112,9 +119,11 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame, model: NaiveBayes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score."""
+    """The kept columns with lang_pred and score; input columns of these names are replaced."""
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     sent = spark.sparkContext.broadcast(model)
     part = docs.select(*keep, *(() if "text" in keep else ("text",)))
 

@@ -109,46 +109,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, times: int = TIME
     keep = tuple(c for c in keep if c not in ("size", "source_size", "target", "taken"))
     of = F.col(sources) if sources else F.array("source")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(*keep, F.array_sort(F.array_distinct(of)).alias("_of"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
+    rows = docs.select(*keep, F.array_sort(F.array_distinct(of)).alias("mix:of"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix:h"))
     rows = ws.keep(rows, "sizes")
-    found = rows.groupBy("_of").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    found = rows.groupBy("mix:of").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    found.sort(key=lambda r: [(s is None, s or "") for s in r["_of"]])
-    names = sorted({s for r in found for s in r["_of"]}, key=lambda s: (s is None, s or ""))
+    found.sort(key=lambda r: [(s is None, s or "") for s in r["mix:of"]])
+    names = sorted({s for r in found for s in r["mix:of"]}, key=lambda s: (s is None, s or ""))
     at = {s: k for k, s in enumerate(names)}
-    sizes = [sum(r["size"] for r in found if s in r["_of"]) for s in names] if sources else [r["size"] for r in found]
+    sizes = [sum(r["size"] for r in found if s in r["mix:of"]) for s in names] if sources else [r["size"] for r in found]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(names))], times)
-    patterns, words = [tuple(at[s] for s in r["_of"]) for r in found], [r["size"] for r in found]
+    patterns, words = [tuple(at[s] for s in r["mix:of"]) for r in found], [r["size"] for r in found]
     flow = [sum(r.values()) for r in min_cost_flow(patterns, words, [round(g) for g in goal], times)]
 
-    plan = [(list(r["_of"]), k, sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0, f // w if w else 0, f % w if w else 0) for k, (r, p, f, w) in enumerate(zip(found, patterns, flow, words, strict=True))]
-    plan = spark.createDataFrame(plan, "_of array<string>, _k int, source_size long, target double, _whole int, _rest long")
-    joined = rows.join(F.broadcast(plan), "_of", "left")  # no more rows than MAX_PATTERNS
+    plan = [(list(r["mix:of"]), k, sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0, f // w if w else 0, f % w if w else 0) for k, (r, p, f, w) in enumerate(zip(found, patterns, flow, words, strict=True))]
+    plan = spark.createDataFrame(plan, "`mix:of` array<string>, `mix:k` int, source_size long, target double, `mix:whole` int, `mix:rest` long")
+    joined = rows.join(F.broadcast(plan), "mix:of", "left")  # no more rows than MAX_PATTERNS
 
     # in [0, 2**36): the place in hash order; the cut is narrowed to one value, slice by slice
-    place = F.shiftrightunsigned("_h", 28)
-    low = plan.select("_k", F.lit(0).cast("long").alias("_low"), F.col("_rest").alias("_left"))
-    keyed = joined.select("_k", "size", place.alias("_place")).where("size > 0")
+    place = F.shiftrightunsigned("mix:h", 28)
+    low = plan.select("mix:k", F.lit(0).cast("long").alias("mix:low"), F.col("mix:rest").alias("mix:left"))
+    keyed = joined.select("mix:k", "size", place.alias("mix:place")).where("size > 0")
     for step in (24, 12, 0):
-        near = keyed.join(F.broadcast(low), "_k").where(F.shiftright("_place", step + 12) == F.shiftright("_low", step + 12))
-        sums = near.groupBy("_k", F.shiftright("_place", step).alias("_slice"), "_left").agg(F.sum("size").alias("n"))
-        per = sums.groupBy("_k", "_left").agg(F.sort_array(F.collect_list(F.struct("_slice", "n"))).alias("all"))  # SLICES entries at most
+        near = keyed.join(F.broadcast(low), "mix:k").where(F.shiftright("mix:place", step + 12) == F.shiftright("mix:low", step + 12))
+        sums = near.groupBy("mix:k", F.shiftright("mix:place", step).alias("mix:slice"), "mix:left").agg(F.sum("size").alias("n"))
+        per = sums.groupBy("mix:k", "mix:left").agg(F.sort_array(F.collect_list(F.struct("mix:slice", "n"))).alias("all"))  # SLICES entries at most
         made = []
         for r in per.collect():
-            total, cut = 0, r["all"][-1]["_slice"] + 1
+            total, cut = 0, r["all"][-1]["mix:slice"] + 1
             for x in r["all"]:
-                if total + x["n"] > r["_left"]:
-                    cut = x["_slice"]
+                if total + x["n"] > r["mix:left"]:
+                    cut = x["mix:slice"]
                     break
                 total += x["n"]
-            made.append((r["_k"], cut << step, r["_left"] - total))
+            made.append((r["mix:k"], cut << step, r["mix:left"] - total))
             if step == 0:
-                nearer = r["_left"] - total > (total + next((x["n"] for x in r["all"] if x["_slice"] == cut), 0)) - r["_left"]
-                made[-1] = (r["_k"], cut + nearer, 0)
-        low = spark.createDataFrame(made or [(-1, 0, 0)], "_k int, _low long, _left long")
-    cut = low.select("_k", F.col("_low").alias("_cut"))
-    out = joined.join(F.broadcast(cut), "_k", "left")
-    times_taken = F.least(F.lit(times), F.coalesce("_whole", F.lit(0)) + F.when((F.col("_rest") > 0) & (place < F.coalesce("_cut", F.lit(0))), 1).otherwise(0))
+                nearer = r["mix:left"] - total > (total + next((x["n"] for x in r["all"] if x["mix:slice"] == cut), 0)) - r["mix:left"]
+                made[-1] = (r["mix:k"], cut + nearer, 0)
+        low = spark.createDataFrame(made or [(-1, 0, 0)], "`mix:k` int, `mix:low` long, `mix:left` long")
+    cut = low.select("mix:k", F.col("mix:low").alias("mix:cut"))
+    out = joined.join(F.broadcast(cut), "mix:k", "left")
+    times_taken = F.least(F.lit(times), F.coalesce("mix:whole", F.lit(0)) + F.when((F.col("mix:rest") > 0) & (place < F.coalesce("mix:cut", F.lit(0))), 1).otherwise(0))
     return out.select(*keep, "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * times_taken).alias("taken"))
 

@@ -10,9 +10,13 @@ A document with an item of coverage ``COVERED`` or more is contaminated.
 
 The benchmark may have any size: it is read in slices of ``SLICE`` bytes of text, each of which is one pass.
 
-Edge cases: items with fewer than LEAST words match nothing (their words are ordinary text); null texts are
-empty; repeated items count once by item_id and text; an empty benchmark or table finds nothing; other
-columns are kept by ``clean`` and ignored by ``leaks``.
+Where seeds repeat so often that all pairs of equal ones would be more than ``PAIRS``, the longest free run is
+searched by its length instead (``longest_first``); the tiles are the same and memory stays that of the text.
+
+Edge cases: an item with fewer than LEAST words is covered by a document of just these words (inside other text
+they are ordinary words); items without words match nothing; null texts are empty; repeated items count once by
+item_id and text; an empty benchmark or table finds nothing; other columns are kept by ``clean`` and ignored by
+``leaks``.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .common import Words, grams, portions
 LEAST = 5
 COVERED = 0.5
 SLICE = 16 << 20
+#: Pairs of equal seeds of one text and all items that are held at once.
+PAIRS = 1 << 20
 
 ASIDE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -45,6 +51,10 @@ class Items:
         owner = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
         place = np.concatenate([np.arange(len(s)) for s in seeds] or [np.zeros(0, np.int64)])
         every = np.concatenate(seeds or [np.zeros(0, np.uint64)])
+        self.short: dict[tuple[int, int], list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < LEAST:
+                self.short.setdefault((len(w), int(grams(w, len(w))[0])), []).append(k)
         order = np.argsort(every, kind="stable")
         self.seeds, self.owner, self.place = every[order], owner[order], place[order]
 
@@ -79,11 +89,51 @@ def tiles(i: np.ndarray, j: np.ndarray, least: int = LEAST) -> list[tuple[int, i
     return out
 
 
+def longest_first(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """The tiles of ``tiles`` from the words alone: each turn finds the longest run that is free on both sides."""
+    free = [np.ones(len(item), bool), np.ones(len(doc), bool)]
+    out, most = [], len(item)
+
+    def places(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Where a free run of n words begins, and its hash."""
+        both = []
+        for words, open_ in zip((item, doc), free, strict=True):
+            sums = np.concatenate([[0], np.cumsum(open_)])
+            at = np.flatnonzero(sums[n:] - sums[:-n] == n) if len(words) >= n else np.zeros(0, np.int64)
+            both.append((at, grams(words, n)[at]))
+        return both
+
+    while True:
+        lo, hi, hit = least - 1, min(most, len(doc)), None  # a run of n words holds one of n - 1
+        while lo < hi:
+            n = (lo + hi + 1) // 2
+            (i, x), (j, y) = places(n)
+            same = np.isin(x, y)
+            if same.any():
+                a = int(i[same][0])
+                lo, hit = n, (n, a, int(j[y == x[same][0]][0]))
+            else:
+                hi = n - 1
+        if hit is None:
+            return out
+        n, a, b = hit
+        out.append(hit)
+        free[0][a : a + n] = False
+        free[1][b : b + n] = False
+        most = n
+
+
 def found(items: Items, texts: list[bytes], covered: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item_id, coverage, tiles, longest tile) for each text and item that share a seed."""
+    words = Words(texts, separates=ASIDE)
+    if items.short:
+        size = np.diff(words.first)
+        for t in np.flatnonzero((size > 0) & (size < LEAST)).tolist():
+            own = words.hash[words.first[t] : words.first[t + 1]]
+            for k in items.short.get((len(own), int(grams(own, len(own))[0])), ()):
+                yield t, items.ids[k], 1.0, 1, len(own)
     if not len(items.seeds):
         return
-    words = Words(texts, separates=ASIDE)
     every = grams(words.hash, LEAST)
     lo = np.searchsorted(items.seeds, every)
     hit = np.flatnonzero(items.seeds[np.minimum(lo, len(items.seeds) - 1)] == every)
@@ -94,6 +144,18 @@ def found(items: Items, texts: list[bytes], covered: float) -> Iterator[tuple[in
         return
     hi = np.searchsorted(items.seeds, every[hit], "right")
     n = hi - lo[hit]
+    per = np.bincount(text, n, len(texts))
+    if per.max() > PAIRS:
+        for t in np.flatnonzero(per > PAIRS).tolist():
+            own = words.hash[words.first[t] : words.first[t + 1]]
+            ranges = np.unique(np.stack([lo[hit][text == t], hi[text == t]], 1), axis=0)
+            for k in sorted({int(o) for a, b in ranges for o in items.owner[a:b]}):
+                made = longest_first(items.words[k], own)
+                yield t, items.ids[k], sum(x[0] for x in made) / len(items.words[k]), len(made), max(x[0] for x in made)
+        few = per[text] <= PAIRS
+        hit, text, n = hit[few], text[few], n[few]
+        if not len(hit):
+            return
     at = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     text, j, owner, i = np.repeat(text, n), np.repeat(hit, n), items.owner[at], items.place[at]
     order = np.lexsort((owner, text))

@@ -206,11 +206,57 @@ def test_string_tiling(spark, docs, none):
     words = items[0][1].split()
     texts = [(1, "x y " + items[0][1].upper() + " z"), (2, " ".join(words[6:] + ["q"] + words[:6])), (3, " ".join(words[:5])), (4, None), (5, "too short")]
     found = {(r.doc_id, r.item_id): r for r in string_tiling.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
-    assert set(found) == {(1, 1), (2, 1)} and found[2, 1].n_tiles == 2 and found[1, 1].coverage == 1.0
+    assert set(found) == {(1, 1), (2, 1), (5, 2)} and found[2, 1].n_tiles == 2 and found[1, 1].coverage == 1.0
     assert string_tiling.leaks(docs, bench).count() == 0 and string_tiling.clean(docs, bench).count() == docs.count()
     assert string_tiling.leaks(none, bench).count() == 0 and string_tiling.leaks(docs, bench.limit(0)).count() == 0
 
 
+def _greedy(item, doc, least):
+    """Greedy string tiling by definition: the longest free common run, first in the item, then in the document."""
+    free, out = ([True] * len(item), [True] * len(doc)), []
+    while True:
+        best = (least - 1, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and free[0][a + n] and free[1][b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        if best[0] < least:
+            return out
+        out.append(best)
+        for x, at in zip(free, best[1:], strict=True):
+            x[at : at + best[0]] = [False] * best[0]
+
+
+@pytest.mark.parametrize("pairs", [string_tiling.PAIRS, 3])
+def test_tiling_brute(spark, pairs, monkeypatch):
+    """Coverage, tiles and the longest one, over few words, so that seeds repeat; short items; both ways of searching."""
+    monkeypatch.setattr(string_tiling, "PAIRS", pairs)
+    rnd = random.Random(6)
+    some = lambda n: [rnd.choice("ab") for _ in range(n)]
+    items = [some(rnd.randrange(5, 18)) for _ in range(8)] + [["a"] * 9, ["b", "a"], [], ["a", "b", "a", "b"]]
+    docs = [some(rnd.randrange(0, 40)) for _ in range(25)] + [["a"] * 50, ["b", "a"], ["a", "b", "a", "b"], items[0] + ["c"] + items[1]]
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            made = _greedy(item, doc, 5) if len(item) >= 5 else [(len(item), 0, 0)] if item and item == doc else []
+            if made and 2 * sum(x[0] for x in made) >= len(item):
+                want.add((d, i, sum(x[0] for x in made) / len(item), len(made), max(x[0] for x in made)))
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{name} long, text string")
+    got = string_tiling.leaks(frame(docs, "doc_id"), frame(items, "item_id"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+    assert {r.doc_id for r in string_tiling.clean(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == set(range(len(docs))) - {w[0] for w in want}
+
+
+def test_tiling_long_text(spark):
+    """A text of a million equal words against an item of them."""
+    bench = spark.createDataFrame([(1, "spam " * 100)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "spam " * 1_000_000), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.coverage, r.n_tiles) for r in string_tiling.leaks(docs, bench).collect()] == [(1, 1.0, 1)]
+
+
 def test_paragraph_minhash(docs, rows, none):
     got = {r.doc_id: r for r in paragraph_minhash.ParagraphDedup(docs).rows().collect() if r.doc_id is not None}
     carry = [r[0] for r in rows if r[1] and r[0] is not None and r[1].count("\n") == 2 and len(r[1]) > 900]
@@ -270,11 +316,13 @@ def test_anchored_runs():
     assert runs(["a"] * 19, ["a"] * 19) == [set(), set()]
 
 
-def test_paragraph_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("block", [paragraph_minhash.BLOCK, 300])
+def test_paragraph_clusters(spark, block, monkeypatch):
     """Chains of near copies, whose ends are far apart: clusters are the components of all links between sets."""
-    asked = []
+    met = []
     arms = paragraph_minhash.ParagraphDedup._arms
-    monkeypatch.setattr(paragraph_minhash.ParagraphDedup, "_arms", lambda self, members, nearest: asked.append(nearest) or arms(self, members, nearest))
+    monkeypatch.setattr(paragraph_minhash.ParagraphDedup, "_arms", lambda self, members: met.append(1) or arms(self, members))
+    monkeypatch.setattr(paragraph_minhash, "BLOCK", block)
     rnd = random.Random(11)
     texts = []
     for _ in range(4):
@@ -292,7 +340,7 @@ def test_paragraph_clusters(spark, monkeypatch):
     rnd.shuffle(order)
     frame = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string")
     got = {r.rid: r.cluster for r in (lambda u, c: u.join(c, "uid", "left").select("rid", F.coalesce("cluster", "uid").alias("cluster")).collect())(*paragraph_minhash.ParagraphDedup(frame).clusters())}
-    assert asked == [True, False]
+    assert met
     pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
     assert [at[a] == at[b] for a, b in pairs] == [got[a] == got[b] for a, b in pairs]
     assert len(set(at)) < 20
