@@ -313,6 +313,26 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     return links, component
 
 
+def star_links(ws: Workspace, records: DataFrame, verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) of the links among ids that share a key; no pairs but stars and links are made.
+
+    records: (key, id, whole), never salted. Each id is verified with the smallest of each of its keys. Where
+    followers of one of these centres are then in different components, arms(members), given (a, b, component) of
+    such centres a, returns links (a, b) that join all followers of a centre that links join.
+    """
+    pairs = _stars(ws, records, "stars").select("a", "b")
+    links = verify(pairs, "stars")
+    component = ws.keep(connected_components(ws, links, "cc1"), "component-1")
+    centres = ws.keep(_open(pairs, component).select("a").distinct(), "open")
+    if not centres.limit(1).count():
+        return component
+    members = restrict(pairs, centres, "a").join(component.select(F.col("id").alias("b"), "component"), "b", "left")
+    more = arms(ws.keep(members.select("a", "b", F.coalesce("component", "b").alias("component")), "open-members"))
+    component = ws.keep(connected_components(ws, links.unionByName(more), "cc2"), "component-2")
+    ws.drop("stars", "component-1", "open-members")
+    return component
+
+
 # --- removal of byte spans -----------------------------------------------------------------------
 
 

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, Workspace, cut, grams, merge, mix, named, portions, restrict, signed, span_array, spans_by_row, star_join
-from .parity_join import near_arms, sketch
+from .common import U, Words, Workspace, cut, grams, merge, mix, named, portions, restrict, signed, span_array, spans_by_row, star_links
 
 LONG = 60
 MIN_WORDS = 5
@@ -39,6 +38,8 @@ SHINGLE = 5
 RUN = 20
 GAP = 16
 PERCENT = 80
+#: Shingles of a centre's followers that one block holds.
+BLOCK = 1 << 17
 
 
 def tune(threshold: float = PERCENT / 100, recall: float = 0.995, most: int = 64) -> tuple[int, int]:
@@ -116,6 +117,33 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def joining(block: np.ndarray, ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], across: bool) -> np.ndarray:
+    """Links (smaller id, larger id) that join the components of the sets as all links would (across: of two blocks)."""
+    size = np.array([len(x) for x in sets])
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    first = np.flatnonzero(np.diff(value, prepend=value[:1] + U(1)))
+    much = np.diff(np.append(first, len(value)))
+    rank = np.empty(len(value), np.int64)
+    rank[order] = np.repeat(np.arange(len(first)), much)
+    component, at, out = component.copy(), 0, []
+    for k, n in enumerate(size.tolist()):
+        r = rank[at : at + n]
+        at += n
+        r = r[much[r] > 1]
+        m = much[r]
+        shared = np.bincount(owner[np.repeat(first[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(sets))
+        near = (100 * shared >= PERCENT * (n + size - shared)) & (component != component[k])
+        if across:
+            near &= block != block[k]
+        for j in np.flatnonzero(near).tolist():
+            if component[j] != component[k]:
+                out.append((min(ids[j], ids[k]), max(ids[j], ids[k])))
+                component[component == component[j]] = component[k]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _linked(inter: int, a: int, b: int) -> bool:
     return 100 * inter >= PERCENT * (a + b - inter)
 
@@ -181,9 +209,8 @@ class ParagraphDedup:
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         ws = self.ws
-        pairs = ws.keep(pairs.select("a", "b"), f"{name}-pairs")
         ids = ws.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-        sets = self._sets(ids, self.firsts, "shingles")
+        sets = ws.keep(self._sets(ids, self.firsts, "shingles"), f"{name}-sets")
         left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,22 +219,45 @@ class ParagraphDedup:
                 keep = [_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(sa, sb, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
+        links = ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
+        ws.drop(f"{name}-ids", f"{name}-sets")
+        return links
 
-    def _arms(self, members: DataFrame, nearest: bool) -> DataFrame:
-        """What follows an open centre, compared by parity sketches before any pair is made."""
-        if not nearest:  # drawn before
-            return near_arms(members, self.drawn, PERCENT)
-        ids = self.ws.keep(members.select(F.col("b").alias("id")).distinct(), "arm-ids")
+    def _arms(self, members: DataFrame) -> DataFrame:
+        """Links among what follows an open centre: enough to join what links join, found on whole sets inside the task.
 
-        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [np.frombuffer(x, U) for x in batch.column("shingles").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["id", "n", "sketch"])
+        A centre's sets are dealt out in blocks of about ``BLOCK`` shingles, and each pair of blocks is a group.
+        """
+        ws = self.ws
+        ids = ws.keep(members.select(F.col("b").alias("id")).distinct(), "arm-ids")
+        sets = ws.keep(self._sets(ids, self.firsts, "shingles"), "arm-sets")
+        sized = members.join(self.firsts.select(F.col("uid").alias("b"), "n"), "b")
+        per = sized.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        rows = members.join(per.select("a", "blocks"), "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+        rows = rows.select("a", "b", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        rows = rows.select("a", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "b", "component").join(sets.select(F.col("id").alias("b"), "shingles"), "b")
 
-        drawn = self._sets(ids, self.firsts, "shingles").mapInArrow(draw, "id long, n long, sketch binary")
-        self.drawn = self.ws.keep(drawn, "arm-sketches")
-        return near_arms(members, self.drawn, PERCENT, nearest)
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held = None, []
+
+            def flush() -> pa.RecordBatch:
+                links = joining(*(np.array(c) for c in list(zip(*held, strict=True))[:3]), [x[3] for x in held], group[1] != group[2])
+                return pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(2)], ["a", "b"])
+
+            for batch in batches:
+                for a, lo, hi, *row, s in zip(*(batch.column(k).to_pylist() for k in ("a", "lo", "hi", "i", "b", "component", "shingles")), strict=True):
+                    if group != (a, lo, hi):
+                        if held:
+                            yield flush()
+                        group, held = (a, lo, hi), []
+                    held.append((*row, np.frombuffer(s, U)))
+            if held:
+                yield flush()
+
+        found = rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "b").mapInArrow(compare, "a long, b long").distinct()
+        links = ws.keep(found, "arm-links")
+        ws.drop("arm-ids", "arm-sets")
+        return links
 
     def clusters(self) -> tuple[DataFrame, DataFrame]:
         """All paragraphs, and (uid, cluster, first place) of classes with more than one paragraph in their cluster."""
@@ -216,7 +266,7 @@ class ParagraphDedup:
         place = F.struct("rid", "tie", "place")
         classes = ws.keep(units.groupBy("uid").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("n").alias("size")), "classes")
         self.firsts = classes.select("uid", F.col("size").alias("n"), "first.rid", "first.tie")
-        _, component = star_join(ws, lambda ids: self._sets(ids, self.firsts, "records"), self._verify, self._arms, nearest_first=True)
+        component = star_links(ws, self._sets(None, self.firsts, "records"), self._verify, self._arms)
         joined = classes.join(component.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid"))
         linked = joined.where("component is not null")
         first = linked.groupBy("cluster").agg(F.min("first").alias("first"))
