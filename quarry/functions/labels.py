@@ -49,11 +49,16 @@ def java(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<")
 
 
+def whole(pattern: str) -> str:
+    """A pattern that must match from the first character to the very last; ``$`` would stop before a final newline."""
+    return rf"\A(?s:{java(pattern)})\z"
+
+
 def match(value: Column, op: str, text: str, anchored: bool = True) -> Column:
     """= != =~ !~ of a matcher; regexes are fully anchored unless said otherwise."""
     if op in ("=", "!="):
         return value == text if op == "=" else value != text
-    hit = value.rlike(f"^(?s:{java(text)})$" if anchored else java(text))
+    hit = value.rlike(whole(text) if anchored else java(text))
     return hit if op == "=~" else ~hit
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,13 +39,13 @@ def byte_size(text: str) -> float:
 
 
 def duration_column(text: Column) -> Column:
-    """Seconds of a duration string; null if it isn't one."""
+    """Seconds of a duration string, summed in whole nanoseconds; null if it isn't one."""
     unit = r"(\d+(?:\.\d+)?)(ns|us|µs|ms|s|m|h)"
     amounts, units = F.regexp_extract_all(text, F.lit(unit), F.lit(1)), F.regexp_extract_all(text, F.lit(unit), F.lit(2))
-    scale = F.create_map(*(x for k in ("ns", "us", "µs", "ms", "s", "m", "h") for x in (F.lit(k), F.lit(_UNITS[k] / 1e9))))
+    scale = F.create_map(*(x for k in ("ns", "us", "µs", "ms", "s", "m", "h") for x in (F.lit(k), F.lit(float(_UNITS[k])))))
     total = F.aggregate(F.zip_with(amounts, units, lambda a, u: a.try_cast("double") * scale[u]), F.lit(0.0), lambda x, y: x + y)
     sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    return F.when(text.rlike(rf"^[+-]?({unit})+$"), sign * total).when(text.rlike(r"^[+-]?0$"), 0.0)
+    return F.when(text.rlike(rf"^[+-]?({unit})+$"), sign * F.round(total) / 1e9).when(text.rlike(r"^[+-]?0$"), 0.0)
 
 
 def bytes_column(text: Column) -> Column:
@@ -54,6 +55,24 @@ def bytes_column(text: Column) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("double") * scale[F.lower(F.regexp_extract(text, pattern, 2))]
 
 
+def floor_div(a: Column, m: int) -> Column:
+    """The integer at or below a / m, of longs; a double would round times in nanoseconds."""
+    return F.call_function("div", a - F.pmod(a, F.lit(m)), F.lit(m))
+
+
+def ceil_div(a: Column, m: int) -> Column:
+    return floor_div(a + (m - 1), m)
+
+
+def constant(op: str, a: float, b: float) -> float:
+    """The operator over two numbers, by IEEE; comparisons give 1 or 0."""
+    if op in ("==", "!=", ">", "<", ">=", "<="):
+        return float({"==": a == b, "!=": a != b, ">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op])
+    with np.errstate(all="ignore"):
+        x, y = np.float64(a), np.float64(b)
+        return float({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "%": lambda: np.fmod(x, y), "^": lambda: x**y, "atan2": lambda: np.arctan2(x, y)}[op]())
+
+
 def div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a) | F.isnan(b) | (a == 0), nan()).otherwise(F.when(a > 0, inf()).otherwise(-inf()))
 

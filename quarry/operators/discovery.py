@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .logs import LogEngine
 
 
 def _matching(df: DataFrame, sets: list[list[tuple[str, str, str]]]) -> DataFrame:
@@ -43,10 +44,28 @@ def detected_fields(df: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.approx_count_distinct("value").alias("cardinality"), F.lit("string").alias("type"))
 
 
+def field_values(df: DataFrame, name: str) -> DataFrame:
+    """Distinct values of a field of JSON lines."""
+    return df.select(F.get_json_object("line", f"$.{name}").alias("value")).where("value is not null").distinct()
+
+
+def volume(logs: DataFrame, query: str, start_ns: int, end_ns: int, targets: list[str]) -> DataFrame:
+    """Lines of a selector over the whole range by labels: (labels, step_ms, value) at its end."""
+    span = (end_ns - start_ns) // 10**6
+    return LogEngine(logs).query(f"sum by ({', '.join(targets)}) (count_over_time({query}[{span}ms]))", end_ns)
+
+
+def volume_range(logs: DataFrame, query: str, start_ns: int, end_ns: int, step_ms: int, targets: list[str]) -> DataFrame:
+    """The same for each step."""
+    return LogEngine(logs).query_range(f"sum by ({', '.join(targets)}) (count_over_time({query}[{step_ms}ms]))", start_ns, end_ns, step_ms)
+
+
 def metadata(df: DataFrame) -> DataFrame:
     """Type, unit and help of each metric name."""
     return df.groupBy("name").agg(F.last("type", True).alias("type"), F.last("unit", True).alias("unit"), F.last("description", True).alias("help"))
 
 
-def exemplars(df: DataFrame, sets: list, start_ms: int, end_ms: int) -> DataFrame:
-    return _matching(df.where(F.col("ts_ms").between(start_ms, end_ms)), sets)
+def exemplars(df: DataFrame, samples: DataFrame, sets: list, start_ms: int, end_ms: int) -> DataFrame:
+    """Exemplars (series: a label key, ts_ms, trace_id, value) of the series that the samples have, with their labels."""
+    known = series(samples, sets).withColumn("series", L.key(F.col("labels")))
+    return df.where(F.col("ts_ms").between(start_ms, end_ms)).join(known, "series")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -25,8 +27,8 @@ class Grid:
 
     def covering(self, ts: Column, window: int) -> Column:
         """All steps t with t - window < ts <= t: computed for each row, nothing is joined."""
-        first = F.greatest(F.lit(self.start), F.lit(self.start) + F.ceil((ts - self.start) / self.step).cast("long") * self.step)
-        last = F.least(F.lit(self.last), F.lit(self.start) + F.floor((ts + (window - 1) - self.start) / self.step).cast("long") * self.step)
+        first = F.greatest(F.lit(self.start), F.lit(self.start) + N.ceil_div(ts - self.start, self.step) * self.step)
+        last = F.least(F.lit(self.last), F.lit(self.start) + N.floor_div(ts + (window - 1) - self.start, self.step) * self.step)
         return F.when(first <= last, F.sequence(first, last, F.lit(self.step))).otherwise(F.array().cast("array<long>"))
 
     def fan_out(self, df: DataFrame, window: int, ts: str = "ts_ms") -> DataFrame:

@@ -43,8 +43,7 @@ def _ip6(spec: str):
     """IPv6 has no native expression; Arrow batches."""
     import pandas as pd
 
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         if "-" in spec:
             low, high = (int(ipaddress.IPv6Address(x.strip())) for x in spec.split("-"))
         else:
@@ -60,7 +59,8 @@ def _ip6(spec: str):
 
         return s.map(one)
 
-    return run
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # this module's annotations are strings
+    return F.pandas_udf(run, "boolean")
 
 
 def wildcard(pattern: str) -> str:
@@ -155,16 +155,19 @@ class LogEngine:
         return self._add(df, F.when(whole.isNotNull(), F.create_map(*made)), "JSONParserErr")
 
     def _logfmt(self, df: DataFrame, extracts: tuple) -> DataFrame:
-        pair = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
-        keys = F.regexp_extract_all("line", F.lit(pair), F.lit(1))
-        values = F.transform(F.regexp_extract_all("line", F.lit(pair), F.lit(2)), lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r'\\(["\\])', "$1")).otherwise(v))
-        entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-        last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.lit(0), F.size(keys) - i - 1)), e["k"]))
-        found = F.map_from_entries(last)
+        """The last of equal keys counts; a key that stands alone has the empty value."""
+        pair = r'([^\s="]+)(?:=("(?:[^"\\]|\\.)*"|[^\s"]*))?'
+        df = df.withColumns({"_k": F.regexp_extract_all("line", F.lit(pair), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(pair), F.lit(2))})
+        plain = lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r'\\(["\\])', "$1")).otherwise(v)
+        at = lambda key: F.size("_k") - F.array_position(F.reverse("_k"), key).cast("int")
+        value = lambda key: F.when(F.array_contains("_k", key), plain(F.get("_v", at(key))))
         if extracts:
-            found = F.create_map(*(x for label, key in extracts for x in (F.lit(label), found[key])))
+            found = F.create_map(*(x for label, key in extracts for x in (F.lit(label), value(key))))
+        else:
+            keys = F.array_distinct("_k")
+            found = F.map_from_arrays(keys, F.transform(keys, value))
         odd = (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2 == 1
-        return self._add(df, F.when(~odd, found), "LogfmtParserErr")
+        return self._add(df, F.when(~odd, found), "LogfmtParserErr").drop("_k", "_v")
 
     def _regexp(self, df: DataFrame, pattern: str) -> DataFrame:
         names = [(n, re.compile(pattern).groupindex[n]) for n in re.compile(pattern).groupindex]
@@ -194,7 +197,10 @@ class LogEngine:
         return df.withColumn("line", F.regexp_replace("line", ANSI, ""))
 
     def _line_format(self, df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("line", template.compile(text, F.col("labels"), F.col("line"), F.col("ts_ns")))
+        """Where the template fails the line stays, with an error."""
+        df = df.withColumn("_t", template.compile(text, F.col("labels"), F.col("line"), F.col("ts_ns")))
+        labels, bad = F.col("labels"), F.col("_t").isNull() & ~F.map_contains_key("labels", ERROR)
+        return df.withColumns({"line": F.coalesce("_t", "line"), "labels": F.when(bad, L.put(labels, ERROR, F.lit("TemplateFormatErr"))).otherwise(labels)}).drop("_t")
 
     def _label_format(self, df: DataFrame, items: tuple) -> DataFrame:
         before = F.col("_before")
@@ -215,11 +221,19 @@ class LogEngine:
         return df.withColumn("labels", F.map_filter("labels", lambda k, v: _chosen(k, v, items)))
 
     def _distinct(self, df: DataFrame, items: tuple) -> DataFrame:
-        """The first line of each value of each label, in the order of (ts_ns, line)."""
+        """The first line of each value of each label, in the order of (ts_ns, line).
+
+        Labels are looked at in turn: a line without the label stays and goes no further, one whose value was seen
+        on a line that came as far goes. The first of a value is an aggregate, so few rows are shuffled.
+        """
+        kept = None
         for label, _, _ in items:
-            w = Window.partitionBy(F.col("labels")[label]).orderBy("ts_ns", "line")
-            df = df.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.map_contains_key("labels", label)).drop("_n")
-        return df
+            without = df.where(~F.map_contains_key("labels", label))
+            kept = without if kept is None else kept.unionByName(without)
+            have, order = df.where(F.map_contains_key("labels", label)), F.struct("ts_ns", "line", L.key(F.col("labels")))
+            first = have.groupBy(F.col("labels")[label].alias("_l")).agg(F.min_by(F.struct(*df.columns), order).alias("_r"))
+            df = first.select("_r.*")
+        return df if kept is None else kept.unionByName(df)
 
     def _unwrap(self, df: DataFrame, label: str, unit: str | None) -> DataFrame:
         text = F.col("labels")[label]
@@ -246,6 +260,25 @@ class LogEngine:
         """Entries grouped by label set, in ascending time."""
         return rows.groupBy("labels").agg(F.array_sort(F.collect_list(F.struct("ts_ns", "line"))).alias("values"))
 
+    def otel_lines(self, rows: DataFrame) -> DataFrame:
+        """Entries whose line is a JSON object of the body (unless empty) and all labels."""
+        body = F.when(F.col("line") != "", F.create_map(F.lit("body"), F.col("line"))).otherwise(L.empty())
+        return rows.withColumn("line", F.to_json(L.merge(F.col("labels"), body)))
+
+    def bucketed(self, query: str, start_ns: int, end_ns: int, step_ms: int) -> DataFrame:
+        """sum by (...) of count, bytes or their rates as one aggregate for each step and label set; a rate divides after."""
+        tree = Q.parse(query)
+        inner = tree.expr if isinstance(tree, Q.VectorAgg) and tree.op == "sum" else None
+        if not isinstance(inner, Q.RangeAgg) or inner.op not in ("count_over_time", "rate", "bytes_over_time", "bytes_rate") or inner.offset_ms or any(s[0] == "unwrap" for s in inner.logs.stages):
+            raise QueryError("only sums of counts and bytes have a bucketed form")
+        grid = Grid(start_ns // 10**6 // step_ms * step_ms, end_ns // 10**6 // step_ms * step_ms + step_ms, step_ms)
+        rows = self.pipeline(inner.logs, (grid.start - inner.range_ms) * 10**6, grid.last * 10**6)
+        labels = F.col("labels")
+        group = L.drop(labels, list(tree.without)) if tree.without is not None else L.keep(labels, list(tree.by or ()))
+        size = F.octet_length("line").cast("double") if inner.op.startswith("bytes") else F.lit(1.0)
+        per = grid.fan_out(rows.select(group.alias("labels"), N.ceil_div(F.col("ts_ns"), 10**6).alias("ts_ms"), size.alias("value")), inner.range_ms).groupBy("labels", "step_ms").agg(F.sum("value").alias("value"))
+        return per.withColumn("value", F.col("value") / (inner.range_ms / 1000.0)) if inner.op.endswith("rate") else per
+
     def _constant(self, grid: Grid, value: float) -> DataFrame:
         return grid.steps(self.spark).select(L.empty().alias("labels"), "step_ms", F.lit(value).alias("value"))
 
@@ -256,7 +289,7 @@ class LogEngine:
             return self._range(e, grid)
         if isinstance(e, Q.Replace):
             target, to, source, pattern = e.args
-            df, anchored = self._metric(e.expr, grid), f"^(?s:{L.java(pattern)})$"
+            df, anchored = self._metric(e.expr, grid), L.whole(pattern)
             value = L.get(F.col("labels"), source)
             return df.withColumn("labels", F.when(value.rlike(anchored), L.put(F.col("labels"), target, F.regexp_replace(value, anchored, to))).otherwise(F.col("labels")))
         if isinstance(e, Q.VectorAgg):
@@ -275,7 +308,7 @@ class LogEngine:
         elif e.without is not None or unwrapped:
             gone = list(e.without or ())
             rows = rows.withColumn("labels", F.map_filter("labels", lambda k, v: ~(k.isin(gone) if gone else F.lit(False)) & ~((k == F.col("unwrapped")) if unwrapped else F.lit(False))))
-        rows = rows.select("labels", (F.ceil(F.col("ts_ns") / 10**6).cast("long") + e.offset_ms).alias("ts_ms"), "ts_ns", "value")
+        rows = rows.select("labels", (N.ceil_div(F.col("ts_ns"), 10**6) + e.offset_ms).alias("ts_ms"), "ts_ns", "value")
         if e.op == "absent_over_time":
             equal = [F.lit(x) for n, op, t in e.logs.matchers if op == "=" for x in (n, t)]
             there = grid.fan_out(rows, e.range_ms).select("step_ms").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import numbers as N
 from ..plans import profileql as Q
 
 SEP = "\x1f"
@@ -44,11 +45,15 @@ class ProfileEngine:
     def collapsed(self, query: str, **time) -> DataFrame:
         return self.select(query, **time).groupBy(F.array_join("stack", ";").alias("stack")).agg(F.sum("value").alias("value"))
 
+    def pprof(self, query: str, **time) -> DataFrame:
+        """The rows of a pprof sample table: (locations, value), leaf first."""
+        return self.select(query, **time).groupBy("stack").agg(F.sum("value").alias("value")).select(F.array_join(F.reverse("stack"), ";").alias("locations"), "value")
+
     def series(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
         """Sums in half-open buckets [start + k step, ...)."""
-        ts = F.floor(F.col("ts_ns") / 10**6).cast("long")
+        ts = N.floor_div(F.col("ts_ns"), 10**6)
         df = self.select(query).where((ts >= start_ms) & (ts < end_ms))
-        return df.groupBy((F.lit(start_ms) + F.floor((ts - start_ms) / step_ms).cast("long") * step_ms).alias("step_ms")).agg(F.sum("value").cast("double").alias("value"))
+        return df.groupBy((F.lit(start_ms) + N.floor_div(ts - start_ms, step_ms) * step_ms).alias("step_ms")).agg(F.sum("value").cast("double").alias("value"))
 
     def types(self) -> DataFrame:
         return self.samples.select("profile_type").distinct()

@@ -284,7 +284,7 @@ class PromEngine:
         raise QueryError(f"unknown function {name}")
 
     def _label_replace(self, df: DataFrame, target: str, to: str, source: str, pattern: str) -> DataFrame:
-        anchored = f"^(?s:{L.java(pattern)})$"
+        anchored = L.whole(pattern)
         value = L.get(F.col("labels"), source)
         made = F.regexp_replace(value, anchored, to.replace("${", "$").replace("}", "") if "${" in to else to)
         return df.withColumn("labels", F.when(value.rlike(anchored), L.put(F.col("labels"), target, made)).otherwise(F.col("labels")))
@@ -353,7 +353,7 @@ class PromEngine:
             both = a.df.withColumnRenamed("value", "x").join(b.df.withColumnRenamed("value", "y"), "step_ms")
             constant = None
             if a.constant is not None and b.constant is not None:
-                constant = both.limit(1).select(made(F.col("x"), F.col("y")).alias("v")).first()["v"]
+                constant = N.constant(e.op, a.constant, b.constant)
             return Value(both.select("step_ms", made(F.col("x"), F.col("y")).alias("value")), True, constant)
         if a.scalar or b.scalar:
             vector, other, swap = (b, a, True) if a.scalar else (a, b, False)

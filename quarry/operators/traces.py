@@ -21,6 +21,7 @@ from ..session import cut_lineage
 from .grid import Grid
 
 NUMERIC = {"number", "duration"}
+TRACE_LEVEL = {"rootName", "rootServiceName", "traceDuration", "childCount", "nestedSetLeft", "nestedSetRight", "nestedSetParent"}
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,8 @@ class TraceEngine:
             return _field("duration", c("_trace_ns"))
         if name == "childCount":
             return _field("number", c("_children"))
+        if name.startswith("nestedSet"):
+            return _field("number", c(f"_{name[9:].lower()}"))
         array, pick, kind = {
             "event:name": ("events", lambda x: F.nullif(x["name"], F.lit("")), "string"), "event:timeSinceStart": ("events", lambda x: F.nullif(x["ts_ns"], F.lit(0)) - c("start_ns"), "duration"),
             "link:traceID": ("links", lambda x: F.nullif(x["trace_id"], F.lit("")), "string"), "link:spanID": ("links", lambda x: F.nullif(x["span_id"], F.lit("")), "string"),
@@ -117,8 +120,8 @@ class TraceEngine:
 
     def _needs(self, e, out: set | None = None) -> set:
         out = set() if out is None else out
-        if isinstance(e, T.Intrinsic) and e.name in ("rootName", "rootServiceName", "traceDuration", "childCount"):
-            out.add("children" if e.name == "childCount" else "trace")
+        if isinstance(e, T.Intrinsic) and e.name in TRACE_LEVEL:
+            out.add({"childCount": "children"}.get(e.name, "nested" if e.name.startswith("nested") else "trace"))
         if isinstance(e, T.Attribute) and e.scope == "parent":
             out.add("parent")
         if hasattr(e, "__dataclass_fields__"):
@@ -138,6 +141,8 @@ class TraceEngine:
         if "children" in needs and "_children" not in df.columns:
             n = self.spans.where("parent_span_id is not null").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count("*").alias("_children"))
             df = df.join(n, ["trace_id", "span_id"], "left").fillna(0, ["_children"])
+        if "nested" in needs and "_left" not in df.columns:
+            df = df.join(nested_sets(self.spans), ["trace_id", "span_id"], "left")
         if "parent" in needs and "_parent_attributes" not in df.columns:
             parents = self.spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("attributes").alias("_parent_attributes"))
             df = df.join(parents, ["trace_id", "parent_span_id"], "left").select(*df.columns, "_parent_attributes")
@@ -161,9 +166,16 @@ class TraceEngine:
         """A row for each trace, by start, with its matched spans."""
         spans = self.select(query, **bounds)
         per = spans.groupBy("trace_id").agg(F.min("start_ns").alias("first_ns"), F.count("*").alias("matched"))
-        traces = self.spans.groupBy("trace_id").agg(F.min("start_ns").alias("start_ns"), (F.max(F.col("start_ns") + F.col("duration_ns")) - F.min("start_ns")).alias("duration_ns"), F.min(F.when(F.col("parent_span_id").isNull(), F.struct("start_ns", "name", "service"))).alias("r"))
+        traces = self.spans.join(per.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(F.min("start_ns").alias("start_ns"), (F.max(F.col("start_ns") + F.col("duration_ns")) - F.min("start_ns")).alias("duration_ns"), F.min(F.when(F.col("parent_span_id").isNull(), F.struct("start_ns", "name", "service"))).alias("r"))
         return traces.join(per, "trace_id").orderBy("start_ns", "trace_id").limit(limit).select("trace_id", "start_ns", "duration_ns", F.col("r.name").alias("root_name"), F.col("r.service").alias("root_service"), "matched")
 
+    def search_spans(self, query: str, **bounds) -> DataFrame:
+        """The matched spans with those attributes only that the query names, of all scopes in one map."""
+        tree = T.parse(query)
+        names = sorted(set(_attribute_names(tree)))
+        every = F.map_concat(*(F.map_filter(m, (lambda later: lambda k, v: k.isin(names) & ~_in_any(k, later))(later)) for m, later in (("resource_attributes", ("scope_attributes", "attributes")), ("scope_attributes", ("attributes",)), ("attributes", ())))) if names else F.create_map().cast("map<string,string>")
+        return self.select(query, **bounds).select("trace_id", "span_id", "start_ns", "duration_ns", every.alias("attributes"))
+
     def by_id(self, trace_id: str) -> DataFrame:
         return self.spans.where(F.col("trace_id") == trace_id.lower().rjust(32, "0"))
 
@@ -275,7 +287,11 @@ class TraceEngine:
 
         What follows the stage picks series: a comparison with a number, topk and bottomk of each step.
         """
-        tree = T.parse(query)
+        return self._metrics(T.parse(query), start_ms, end_ms, step_ms)
+
+    def _metrics(self, tree, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
+        if isinstance(tree, T.Math):
+            return self._math(tree, *(x if isinstance(x, float) else self._metrics(x, start_ms, end_ms, step_ms) for x in (tree.left, tree.right)))
         at = next((k for k, s in enumerate(tree.stages) if s[0] == "metric"), None) if isinstance(tree, T.Pipeline) else None
         if at is None:
             raise QueryError("not a metrics query")
@@ -284,14 +300,16 @@ class TraceEngine:
         df = self._eval(T.Pipeline(tree.spans, tree.stages[:at]) if at else tree.spans, needs)
         labels = [x for k, f in enumerate(by) for x in (F.lit(getattr(f, "name", str(k))), F.coalesce(self.compile(f).text, F.lit("nil")))]
         value = self.compile(args[0]).number if args else F.lit(1.0)
-        rows = df.select((F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")).alias("labels"), F.ceil(F.col("start_ns") / 10**6).cast("long").alias("ts_ms"), value.alias("value"))
+        rows = df.select((F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")).alias("labels"), N.ceil_div(F.col("start_ns"), 10**6).alias("ts_ms"), value.alias("value"))
         v = F.col("value")
         made = {"rate": F.count("*") / (step_ms / 1000.0), "count_over_time": F.count("*").cast("double"), "min_over_time": F.min(v), "max_over_time": F.max(v), "sum_over_time": F.sum(v), "avg_over_time": F.avg(v)}.get(name)
         if name == "quantile_over_time":
             made = N.quantile(float(args[1].value), v)
         out = Grid(start_ms, end_ms, step_ms).fan_out(rows, step_ms).groupBy("labels", "step_ms").agg(made.alias("value"))
         for stage in tree.stages[at + 1 :]:
-            if stage[0] == "compare":
+            if stage[0] == "scalar-math":
+                out = out.withColumn("value", N.arithmetic(stage[1], v, F.lit(stage[2])))
+            elif stage[0] == "compare":
                 out = out.where(N.compare("==" if stage[1] == "=" else stage[1], v, F.lit(stage[2])))
             elif stage[0] == "top":
                 w = Window.partitionBy("step_ms").orderBy(F.isnan(v), v.desc() if stage[1] == "topk" else v.asc(), key(F.col("labels")))
@@ -300,11 +318,90 @@ class TraceEngine:
                 raise QueryError("only comparisons, topk and bottomk follow a metrics stage")
         return out
 
+    def _math(self, e: T.Math, a: DataFrame | float, b: DataFrame | float) -> DataFrame:
+        """Series with equal labels meet at each step; a number meets all."""
+        if isinstance(a, float) or isinstance(b, float):
+            df, v = (b, F.col("value")) if isinstance(a, float) else (a, F.col("value"))
+            x, y = (F.lit(a), v) if isinstance(a, float) else (v, F.lit(b))
+            return df.withColumn("value", N.arithmetic(e.op, x, y))
+        a, b = (df.withColumn("k", key(F.col("labels"))) for df in (a, b))
+        both = a.join(b.select("k", "step_ms", F.col("value").alias("o")), ["k", "step_ms"])
+        return both.select("labels", "step_ms", N.arithmetic(e.op, F.col("value"), F.col("o")).alias("value"))
+
+    def compare(self, query: str) -> DataFrame:
+        """(grp, attribute, value, n): the commonest values of each attribute among the spans that a filter selects, and among the rest.
+
+        Attributes have their scope before their name; name and kind are attributes too. The window, if there is one, bounds the selection.
+        """
+        tree = T.parse(query)
+        if not isinstance(tree, T.Pipeline) or tree.stages[-1][0] != "compare-groups":
+            raise QueryError("not a comparison")
+        _, test, top, start, end = tree.stages[-1]
+        df = self._eval(T.Pipeline(tree.spans, tree.stages[:-1]) if tree.stages[:-1] else tree.spans, self._needs(tree))
+        chosen = self.compile(test).truth
+        if end:
+            chosen &= (F.col("start_ns") >= start) & (F.col("start_ns") < end)
+        scopes = (("span", "attributes"), ("resource", "resource_attributes"), ("instrumentation", "scope_attributes"))
+        found = [F.transform(F.map_entries(c), (lambda s: lambda e: F.struct(F.concat(F.lit(f"{s}."), e["key"]).alias("attribute"), e["value"].alias("value")))(s)) for s, c in scopes]
+        own = F.array(*(F.struct(F.lit(x).alias("attribute"), F.col(x).alias("value")) for x in ("name", "kind")))
+        rows = df.select(F.when(chosen, "selection").otherwise("baseline").alias("grp"), F.explode(F.concat(own, *found)).alias("x"))
+        per = rows.groupBy("grp", "x.attribute", "x.value").agg(F.count("*").alias("n"))
+        w = Window.partitionBy("grp", "attribute").orderBy(F.col("n").desc(), "value")
+        return per.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top).drop("nth")
+
     def tag_names(self) -> DataFrame:
-        parts = [self.spans.select(F.lit(scope).alias("scope"), F.explode(F.map_keys(c)).alias("tag")) for scope, c in (("span", "attributes"), ("resource", "resource_attributes"), ("instrumentation", "scope_attributes"))]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+        scopes = {"span": F.map_keys("attributes"), "resource": F.map_keys("resource_attributes"), "instrumentation": F.map_keys("scope_attributes")}
+        scopes |= {x: F.flatten(F.transform(f"{x}s", lambda e: F.map_keys(e["attributes"]))) for x in ("event", "link")}
+        tags = F.flatten(F.array(*(F.transform(c, (lambda s: lambda t: F.struct(F.lit(s).alias("scope"), t.alias("tag")))(s)) for s, c in scopes.items())))
+        return self.spans.select(F.explode(tags).alias("x")).select("x.scope", "x.tag").distinct()
 
     def tag_values(self, tag: str, query: str | None = None) -> DataFrame:
         df = self.select(query) if query else self.spans
-        value = self._intrinsic(tag).text if tag in T.INTRINSICS - {"rootName", "rootServiceName", "traceDuration", "childCount"} else self._attribute("", tag.lstrip("."))
+        value = self._intrinsic(tag).text if tag in T.INTRINSICS - TRACE_LEVEL else self._attribute("", tag.lstrip("."))
         return df.select(value.alias("value")).where("value is not null").distinct()
+
+
+def _attribute_names(e) -> list[str]:
+    """Names of all attributes in a tree."""
+    if isinstance(e, T.Attribute):
+        return [e.name]
+    parts = e if isinstance(e, tuple) else [getattr(e, k) for k in getattr(e, "__dataclass_fields__", ())]
+    return [n for p in parts for n in _attribute_names(p)]
+
+
+def _in_any(k: Column, maps: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in maps:
+        out |= F.map_contains_key(m, k)
+    return out
+
+
+def nested_sets(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, _left, _right, _parent): a numbering of each trace in which a span's numbers enclose those below it.
+
+    Spans without a parent in their trace begin trees, in the order of start and id, as children do; _parent is the
+    parent's left number, -1 without one. What hangs on a ring of parents has none. Ids of one trace meet in a task.
+    """
+    import pandas as pd
+
+    def number(trace: pd.DataFrame) -> pd.DataFrame:
+        trace = trace.drop_duplicates("span_id").sort_values(["start_ns", "span_id"])
+        ids, parents = trace["span_id"].tolist(), trace["parent_span_id"].tolist()
+        there, below = set(ids), {}
+        for i, p in zip(ids, parents, strict=True):
+            below.setdefault(p if p in there else None, []).append(i)
+        left, right, above, n = {}, {}, {}, 0
+        todo = [(i, -1, False) for i in reversed(below.get(None, []))]
+        while todo:
+            i, p, done = todo.pop()
+            n += 1
+            if done:
+                right[i] = n
+                continue
+            left[i], above[i] = n, p
+            todo.append((i, p, True))
+            todo += [(k, n, False) for k in reversed(below.get(i, []))]
+        some = list(left)
+        return pd.DataFrame({"trace_id": trace["trace_id"].iloc[0], "span_id": some, "_left": [left[i] for i in some], "_right": [right[i] for i in some], "_parent": [above[i] for i in some]})
+
+    return spans.select("trace_id", "span_id", "parent_span_id", "start_ns").groupBy("trace_id").applyInPandas(number, "trace_id string, span_id string, _left long, _right long, _parent long")

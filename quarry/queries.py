@@ -15,7 +15,7 @@ from .operators.traces import TraceEngine
 from .sources import demo
 
 DAY = 86_400_000
-START, END = 1_704_153_600_000, 1_706_572_800_000  # 2024-01-02 .. 2024-01-30
+START, END = 1_704_153_600_000, 1_706_659_200_000  # 2024-01-02 .. 2024-01-31: every event is in a window of the last day
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -76,7 +76,6 @@ _prom("R19_predict_linear", "predict_linear(view[2d], 3600)", ("user",), f"""{W}
 _prom("R24_absent_over_time", 'absent_over_time(view{user="7"}[3h])', ("user",), f"""{_window(0.125)} select '7' as "user", t as step_ms, 1.0::double as value from grid where t not in (select t from w where n = 'view' and u = '7')""")
 _prom("R25_subquery", "max_over_time(sum(count_over_time(view[6h]))[1d:6h])", (), f""", i as (select range as t from range({START - DAY}, {END} + 1, {DAY // 4})), c as (select t, count(*)::double as v from s join i on ts > t - {DAY // 4} and ts <= t where n = 'view' group by t)
  select grid.t as step_ms, round(max(v), 7) as value from c join grid on c.t > grid.t - {DAY} and c.t <= grid.t group by grid.t""")
-_prom("R27_double_exponential_smoothing", "double_exponential_smoothing(view[2d], 0.5, 0.3)", ("user",), None)
 
 _LB = f", i as (select n, u, t, arg_max(v, ts) as v, max(ts) as ts from s join grid on ts > t - {300_000} and ts <= t group by n, u, t)"
 _prom("J19_lookback", "{__name__=~\"view|click\"}", ("__name__", "user"), f"""{_LB} select n as name, u as "user", t as step_ms, round(v, 7) as value from i where n in ('view', 'click')""", 600_000)
@@ -89,7 +88,6 @@ _prom("A7_by", 'sum by (__name__) (last_over_time({__name__!=""}[2d]))', ("__nam
 _prom("A7_without", "sum without (user) (sum_over_time(view[2d]))", (), f"{_L} select t as step_ms, round(sum(v), 7) as value from m where n = 'view' group by t")
 _prom("A8_topk", "topk(3, sum_over_time(view[2d]))", ("user",), f"""{_L} select u as "user", t as step_ms, round(v, 7) as value from (select *, row_number() over (partition by t order by v desc) as k from m where n = 'view') where k <= 3""")
 _prom("A8_bottomk", "bottomk(3, sum_over_time(view[2d]))", ("user",), f"""{_L} select u as "user", t as step_ms, round(v, 7) as value from (select *, row_number() over (partition by t order by v) as k from m where n = 'view') where k <= 3""")
-_prom("A9_limitk", "limitk(2, sum_over_time(view[2d]))", ("user",), None)
 _prom("A10_limit_ratio", "count(limit_ratio(0.5, sum_over_time(view[2d]))) + count(limit_ratio(-0.5, sum_over_time(view[2d])))", (), f"{_L} select t as step_ms, count(*)::double as value from m where n = 'view' group by t")
 _prom("A11_quantile", "quantile(0.25, sum_over_time(view[2d]))", (), f"{_L} select t as step_ms, round(quantile_cont(v, 0.25), 7) as value from m where n = 'view' group by t")
 _prom("A12_count_values", 'count_values("n", count_over_time(view[2d]))', ("n",), f"""{_BASE} select cast(c as varchar) as n, t as step_ms, count(*)::double as value from b where n = 'view' group by b.c, t""")
@@ -135,9 +133,7 @@ for _fn, _sql in {"sum_over_time": "sum(k)", "avg_over_time": "avg(k)", "min_ove
 _logql("L7_quantile_over_time", 'quantile_over_time(0.75, {event_type="view"} | json | unwrap k [1d]) by (event_type)', ("event_type",), f"{_E} select n as event_type, t as step_ms, round(quantile_cont(k, 0.75), 7) as value from w where n = 'view' group by n, t")
 _logql("L2_rate", 'sum by (event_type) (rate({event_type!="error"}[1d])) * 1000', ("event_type",), f"{_E} select n as event_type, t as step_ms, round(count(*) / {DAY / 1000} * 1000, 7) as value from w where n <> 'error' group by n, t")
 _logql("L3_bytes_over_time", 'sum by (event_type) (bytes_over_time({event_type="view"}[1d]))', ("event_type",), f"{_E} select n as event_type, t as step_ms, sum(strlen(props))::double as value from w where n = 'view' group by n, t")
-_logql("L4_rate_counter", 'rate_counter({event_type="view"} | json | unwrap k [1d]) by (event_type)', ("event_type",), None)
 _logql("L9_absent_over_time", 'absent_over_time({event_type="view", user="3"}[1d])', ("event_type", "user"), f"""{_E} select 'view' as event_type, '3' as "user", t as step_ms, 1.0::double as value from grid where t not in (select t from w where n = 'view' and u = 3)""")
-_logql("A14_topk", 'topk(2, sum by (event_type) (count_over_time({event_type=~".+"}[1d])))', ("event_type",), None)
 _logql("J8_ratio", 'sum(count_over_time({event_type="view"}[1d])) / sum(count_over_time({event_type="click"}[1d]))', (), f"{_E} select t as step_ms, round(a / b, 7) as value from (select t, count(case when n = 'view' then 1 end)::double as a, count(case when n = 'click' then 1 end)::double as b from w group by t) where a > 0 and b > 0")
 
 
@@ -213,13 +209,6 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["O7_search"] = _search
 ORACLE["O7_search"] = f"{_SP} select tid as trace_id, max(case when k = 0 then name end) as root_name, count(case when st = 'error' then 1 end) as matched from p where c in (select c from p where st = 'error') group by tid, c order by c limit 20"
-QUERIES["A16_metrics"] = lambda spark, d: _flat(TraceEngine(demo.spans(spark, d)).metrics("{ } | count_over_time() by (name)", 0, 200_000, 10_000), ("name",))
-ORACLE["A16_metrics"] = f"{_SP}, g as (select range as t from range(0, 200001, 10000)) select name, t as step_ms, count(*)::double as value from p join g on c * 1000 + k > t - 10000 and c * 1000 + k <= t group by name, t"
-_COUNTS = f"{_SP}, g as (select range as t from range(0, 200001, 10000)), x as (select name, t, count(*)::double as v from p join g on c * 1000 + k > t - 10000 and c * 1000 + k <= t group by name, t)"
-for _key, _stage, _where in (("topk", "| topk(1)", "n = 1"), ("bottomk", "| bottomk(1)", "m = 1"), ("filter", "> 3", "v > 3"), ("filter_topk", "> 3 | topk(1)", "v > 3 and n = 1")):
-    QUERIES[f"A18_{_key}"] = lambda spark, d, q="{ } | count_over_time() by (name) " + _stage: _flat(TraceEngine(demo.spans(spark, d)).metrics(q, 0, 200_000, 10_000), ("name",))
-    ORACLE[f"A18_{_key}"] = f"{_COUNTS} select name, t as step_ms, v as value from (select *, row_number() over (partition by t order by v desc, name) as n, row_number() over (partition by t order by v, name) as m from x) where {_where}"
-QUERIES["M13_tag_names"] = lambda spark, d: TraceEngine(demo.spans(spark, d)).tag_names()
 
 # profiles
 _P = "with q as (select string_split(p_type, ' ') as s, p_size::bigint as v, p_brand, p_partkey from part)"
@@ -235,8 +224,6 @@ CPU = "cpu:cpu:nanoseconds:cpu:nanoseconds"
 _profile("P2_tree", lambda e: e.tree(CPU).select(F.translate("path", SEP, ";").alias("path"), "depth", "self", "total"), f"""{_P}, x as (select array_to_string(s[1:d], ';') as path, d as depth, case when d = len(s) then v else 0 end as own, v from (select s, v, unnest(range(0, len(s) + 1)) as d from q))
  select path, depth::int as depth, sum(own)::bigint as "self", sum(v)::bigint as total from x group by path, depth""")
 _profile("P1_selector", lambda e: e.collapsed(CPU + '{service_name=~"Brand#1.*"}'), f"{_P} select array_to_string(s, ';') as stack, sum(v)::bigint as value from q where p_brand like 'Brand#1%' group by 1")
-_profile("P4_folded", lambda e: e.folded(CPU, 12).select(F.translate("path", SEP, ";").alias("path"), "depth", "total"), None)
-_profile("P6_series", lambda e: e.series(CPU, 0, 2_000_000, 100_000), f"{_P} select (p_partkey * 1000 // 100000) * 100000 as step_ms, sum(v)::double as value from q where p_partkey * 1000 < 2000000 group by 1")
 _profile("P7_labels", lambda e: e.label_values("service_name"), f"{_P} select distinct p_brand as value from q")
 
 # metadata
@@ -250,3 +237,6 @@ ORACLE["M9_detected_labels"] = "select unnest(['event_type', 'user']) as name"
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["L1_count_over_time"](spark, sf_dir)
+
+
+from . import forms  # noqa: E402, F401  registers further forms

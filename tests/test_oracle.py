@@ -19,15 +19,21 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def _row(row: tuple) -> tuple:
+    return tuple(None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in row)
+
+
+def _same(a, b) -> bool:
+    """Rounded doubles may differ in their last place: sums come in another order."""
+    return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1e-9 * max(abs(a), abs(b)) + 1.5e-7
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, con, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
-    rows = [sorted(map(tuple, x[names].astype(str).values)) for x in (got, want)]
-    assert rows[0] == rows[1]
-
-
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
-def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+    rows = [sorted((_row(r) for r in x[names].astype(object).values.tolist()), key=repr) for x in (got, want)]
+    assert len(rows[0]) == len(rows[1])
+    apart = [(a, b) for a, b in zip(*rows, strict=True) if not all(map(_same, a, b))]
+    assert not apart, apart[:3]
