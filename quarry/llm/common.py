@@ -265,7 +265,7 @@ def _salted(ws: Workspace, records: DataFrame) -> DataFrame:
     return restrict(every, ws.keep(per.groupBy("n", "m0", "m1").agg(F.min("a").alias("a")).select("a"), "salted-keys"), "a").select("a", "b")
 
 
-def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame, bool], DataFrame], nearest_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], verify: Callable[[DataFrame, str], DataFrame], arms: Callable[[DataFrame, bool], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Links among ids that share a key, and their components, without all pairs of any group.
 
     records(ids) gives (key, id, whole) of all ids or of those in a table (id); whole is the key before
@@ -276,10 +276,10 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     exactly those are compared with each other by arms(members, False), which is given
     (a, b, component) of the centres a that are open and must return all linked pairs of different
     components that follow one centre (others may be among them). A salted key has a centre for each salt, so
-    its ids are given once more as followers of the whole key. With nearest_first, arms(members, True) is
-    asked first for a pair or so of each id, the likeliest one: a group of near copies that its centre is too
-    far from is then one component before all pairs of different components are asked for. So every two ids
-    that share a key end in one component or were compared: the components are those of all links.
+    its ids are given once more as followers of the whole key. arms(members, True) is asked first for a pair or so
+    of each id, the likeliest one: a group of near copies that its centre is too far from is then one component
+    before all pairs of different components are asked for. So every two ids that share a key end in one component
+    or were compared: the components are those of all links.
     """
     first = _stars(ws, records(None), "stars")
     tops = first.where("whole <> 0").select(F.col("whole").alias("key"), F.col("a").alias("id"), F.lit(0).cast("long").alias("whole"))
@@ -292,8 +292,11 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     links = ws.keep(links.unionByName(verify(_open(pairs, component).join(best, ["a", "b"], "left_anti"), "more")), "links-2")
     component = ws.keep(connected_components(ws, links, "cc2"), "component-2")
     centres = ws.keep(_open(pairs, component).select("a").distinct(), "open")
+    salted = tops.limit(1).count() > 0
+    if not salted and not centres.limit(1).count():
+        return links, component
     members = ws.keep(restrict(pairs, centres, "a").select("a", "b"), "open-members")
-    if tops.limit(1).count():
+    if salted:
         members = members.unionByName(_salted(ws, records(None)))
     met = pairs.select("a", "b")
 
@@ -301,11 +304,10 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
         of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left")
         return of.select("a", "b", F.coalesce("component", "b").alias("component"))
 
-    if nearest_first:
-        nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
-        links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
-        component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
-        met = met.unionByName(nearest)
+    nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
+    links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
+    component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
+    met = met.unionByName(nearest)
     rest = arms(follow(), False).join(met, ["a", "b"], "left_anti")
     links = ws.keep(links.unionByName(verify(rest, "rest")), "links-3")
     component = ws.keep(connected_components(ws, links, "cc3"), "component-3")
