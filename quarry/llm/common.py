@@ -228,7 +228,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFram
 
 
 def _stars(ws: Workspace, records: DataFrame, name: str) -> DataFrame:
-    """(a, b, whole, shared): links b to the smallest id of its key; a row with b null for each salted key's smallest."""
+    """(a, b, whole): links b to the smallest id of its key; a row with b null for each salted key's smallest."""
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, centre = None, np.int64(0)
@@ -247,7 +247,7 @@ def _stars(ws: Workspace, records: DataFrame, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=none), pa.array(columns[2])], ["a", "b", "whole"])
 
     found = records.repartition("key").sortWithinPartitions("key", "id").mapInArrow(star, "a long, b long, whole long")
-    return ws.keep(found.groupBy("a", "b", "whole").agg(F.count("*").alias("shared")), name)
+    return ws.keep(found.distinct(), name)
 
 
 def _open(pairs: DataFrame, component: DataFrame) -> DataFrame:
@@ -271,11 +271,10 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     records(ids) gives (key, id, whole) of all ids or of those in a table (id); whole is the key before
     salting, 0 if it isn't salted. verify(pairs, name) keeps the linked ones of pairs (a, b).
 
-    In each group ids are first proposed to the smallest only: the centre with the most shared keys, then
-    what is still in another component. If members of one centre's groups are then in different components,
-    exactly those are compared with each other by arms(members, False), which is given
-    (a, b, component) of the centres a that are open and must return all linked pairs of different
-    components that follow one centre (others may be among them). A salted key has a centre for each salt, so
+    In each group ids are first proposed to the smallest only. If members of one centre's groups are then in
+    different components, exactly those are compared with each other by arms(members, False), which is given
+    (a, b, component) of the centres a that are open and must return all linked pairs of different components
+    that follow one centre (others may be among them). A salted key has a centre for each salt, so
     its ids are given once more as followers of the whole key. arms(members, True) is asked first for a pair or so
     of each id, the likeliest one: a group of near copies that its centre is too far from is then one component
     before all pairs of different components are asked for. So every two ids that share a key end in one component
@@ -284,13 +283,9 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     first = _stars(ws, records(None), "stars")
     tops = first.where("whole <> 0").select(F.col("whole").alias("key"), F.col("a").alias("id"), F.lit(0).cast("long").alias("whole"))
     second = _stars(ws, tops, "tops")
-    pairs = first.where("b is not null").unionByName(second.where("b is not null")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = ws.keep(pairs, "candidates")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = verify(best, "best")
+    pairs = ws.keep(first.where("b is not null").unionByName(second.where("b is not null")).select("a", "b").distinct(), "candidates")
+    links = verify(pairs, "stars")
     component = ws.keep(connected_components(ws, links, "cc1"), "component-1")
-    links = ws.keep(links.unionByName(verify(_open(pairs, component).join(best, ["a", "b"], "left_anti"), "more")), "links-2")
-    component = ws.keep(connected_components(ws, links, "cc2"), "component-2")
     centres = ws.keep(_open(pairs, component).select("a").distinct(), "open")
     salted = tops.limit(1).count() > 0
     if not salted and not centres.limit(1).count():
@@ -298,7 +293,7 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
     members = ws.keep(restrict(pairs, centres, "a").select("a", "b"), "open-members")
     if salted:
         members = members.unionByName(_salted(ws, records(None)))
-    met = pairs.select("a", "b")
+    met = pairs
 
     def follow() -> DataFrame:
         of = members.join(component.select(F.col("id").alias("b"), "component"), "b", "left")
@@ -306,7 +301,7 @@ def star_join(ws: Workspace, records: Callable[[DataFrame | None], DataFrame], v
 
     nearest = ws.keep(arms(follow(), True).join(met, ["a", "b"], "left_anti"), "nearest")
     links = ws.keep(links.unionByName(verify(nearest, "nearest-arms")), "links-near")
-    component = ws.keep(connected_components(ws, links, "cc-near"), "component-near")
+    component = ws.keep(connected_components(ws, links, "cc2"), "component-2")
     met = met.unionByName(nearest)
     rest = arms(follow(), False).join(met, ["a", "b"], "left_anti")
     links = ws.keep(links.unionByName(verify(rest, "rest")), "links-3")
