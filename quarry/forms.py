@@ -12,8 +12,8 @@ from .operators.logs import LogEngine
 from .operators.profiles import SEP, ProfileEngine
 from .operators.prom import PromEngine
 from .operators.traces import TraceEngine
-from .queries import _BASE, _E, _JOIN, _L, _LB, _O, _P, _SP, _V, _C, CPU, DAY, END, ORACLE, QUERIES, START, W, _flat, _lines, _logql, _prom, _trace
-from .sources import demo
+from .queries import _BASE, _E, _JOIN, _L, _LB, _O, _P, _SAMPLES, _SP, _V, _C, CPU, DAY, END, ORACLE, QUERIES, START, W, _flat, _lines, _logql, _prom, _trace
+from .sources import demo, formats, otlp, remote_write, safety, tables
 
 # metrics
 
@@ -68,6 +68,45 @@ ORACLE["A19_series_count"] = f"select event_type as name, {END} as step_ms, coun
 QUERIES["R26_matrix"] = lambda spark, d: PromEngine(demo.metrics(spark, d)).query('view{user="3"}[40d]', END).select("ts_ms", "value")
 ORACLE["R26_matrix"] = f"select epoch_us(ts) // 1000 as ts_ms, value from events where event_type = 'view' and user_id = 3 and epoch_us(ts) // 1000 <= {END}"
 
+def _by_id(key: str, query: str, labels: tuple[str, ...], like: str) -> None:
+    """The same over a series table and samples with its ids."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        samples, series = tables.with_series(demo.metrics(spark, d))
+        return _flat(PromEngine(samples, series=series).query_range(query, START, END, DAY), labels)
+
+    QUERIES[key], ORACLE[key] = run, ORACLE[like]
+
+
+_by_id("S1_series_table", "rate(view[2d]) * 1000", ("user",), "R11_rate")
+_by_id("S2_sample_scan", 'sum by (__name__) (last_over_time({__name__!=""}[2d]))', ("__name__",), "A7_by")
+_H = f"""grid as (select range as t from range({START}, {START + 3 * DAY} + 1, 3600000)), s as (select cast(user_id as varchar) as u, epoch_us(ts) // 1000 as ts, value as v from events where event_type = 'view'),
+ w as (select u, t, ts, v from s join grid on ts > t - {2 * DAY} and ts <= t)"""
+for _fn, _sql in {"sum": "sum(v)", "avg": "avg(v)", "min": "min(v)", "max": "max(v)", "stddev": "stddev_pop(v)", "last": "arg_max(v, ts)", "count": "count(*)::double"}.items():
+    QUERIES[f"J20_chunks_{_fn}"] = lambda spark, d, q=f"{_fn}_over_time(view[2d])": _flat(PromEngine(demo.metrics(spark, d)).query_range(q, START, START + 3 * DAY, 3_600_000), ("user",))
+    ORACLE[f"J20_chunks_{_fn}"] = f"""with {_H} select u as "user", t as step_ms, round({_sql}, 7) as value from w group by u, t"""
+
+QUERIES["S14_otlp_metrics"] = lambda spark, d: _flat(PromEngine(otlp.samples(demo.otlp_metrics(spark, d))).query_range("sum by (user_id, job) (sum_over_time(view[2d]))", START, END, DAY), ("user_id", "job"))
+ORACLE["S14_otlp_metrics"] = f"""with {_SAMPLES.format(step=DAY)} {_L} select u as user_id, 'events' as job, t as step_ms, round(v, 7) as value from m where n = 'view'"""
+QUERIES["S14_otlp_logs"] = lambda spark, d: tables.log_labels(otlp.logs(demo.otlp_logs(spark, d))).select("ts_ns", "line", *(F.col("labels")[x].alias(x) for x in ("service_name", "http_status", "level")))
+ORACLE["S14_otlp_logs"] = f"{_O} select ts_ns, line, 'orders' as service_name, st as http_status, 'INFO' as level from o"
+QUERIES["S14_otlp_traces"] = lambda spark, d: TraceEngine(otlp.spans(demo.otlp_spans(spark, d))).select("{ kind = server && status = ok } > { .turn > 1 && duration > 100us }").select("trace_id", "span_id", "service", "start_ns", "duration_ns")
+ORACLE["S14_otlp_traces"] = f"{_SP} select tid as trace_id, sid as span_id, role as service, c * 1000000000 + k * 1000000 as start_ns, dur as duration_ns from p a where k > 1 and dur > 100000 and exists (select 1 from p b where b.c = a.c and b.k = a.k - 1)"
+for _v in (1, 2):
+    QUERIES[f"S15_remote_write_v{_v}"] = lambda spark, d, v=_v: remote_write.read(remote_write.write(demo.metrics(spark, d), v)).select(F.col("labels")["__name__"].alias("name"), F.col("labels")["user"].alias("user"), "ts_ms", "value")
+    ORACLE[f"S15_remote_write_v{_v}"] = """select event_type as name, user_id::varchar as "user", epoch_us(ts) // 1000 as ts_ms, value from events"""
+QUERIES["S16_consumer"] = lambda spark, d: formats.consume(demo.raw_records(spark, d)).select("ts_ns", "body", "severity_text", F.col("attributes")["cust"].alias("cust"), F.col("attributes")["k"].alias("k"))
+ORACLE["S16_consumer"] = f"{_O} select ts_ns, st as body, 'WARN' as severity_text, cu::varchar as cust, null as k from o union all select epoch_us(ts) * 1000, '', '', null, props->>'k' from events"
+QUERIES["S17_formats"] = lambda spark, d: formats.parse(demo.raw_records(spark, d).select(F.col("body").alias("line"))).groupBy("format").agg(F.count("*").alias("n"))
+ORACLE["S17_formats"] = "select 'logfmt' as format, count(*) as n from orders union all select 'generic-json', count(*) from events"
+for _key, _call in (("count", "histogram_count(price)"), ("sum", "histogram_sum(price)"), ("avg", "histogram_avg(price)"), ("quantile", "histogram_quantile(0.4, price)")):
+    QUERIES[f"S5_native_{_key}"] = lambda spark, d, q=_call: _flat(PromEngine(demo.price_buckets(spark, d), histograms=demo.price_histograms(spark, d)).query(q, START), ("flag",)).withColumn("value", F.round("value", 4))
+_NATIVE = f"""with k as (select l_returnflag as f, ceil(log2(l_extendedprice) * 2)::int - 1 as i, count(*)::double as n from lineitem group by all), s as (select *, sum(n) over (partition by f order by i) as c, sum(n) over (partition by f) as total from k),
+h as (select f, arg_min(i, i) as i, arg_min(c - n, i) as below, arg_min(n, i) as n, any_value(total) as total from s where c >= 0.4 * total group by f)
+select f as flag, {START} as step_ms, round(pow(2, i / 2.0) * pow(sqrt(2.0), (0.4 * total - below) / n), 4) as value from h"""
+ORACLE["S5_native_quantile"] = _NATIVE
+for _key, _sql in (("count", "count(*)::double"), ("sum", "sum(l_extendedprice)"), ("avg", "avg(l_extendedprice)")):
+    ORACLE[f"S5_native_{_key}"] = f"select l_returnflag as flag, {START} as step_ms, round({_sql}, 4) as value from lineitem group by l_returnflag"
+
 # logs
 
 _logql("L10_without", 'sum_over_time({event_type="view"} | json | unwrap k [1d]) without (user)', ("event_type", "user"), f"""{_E} select n as event_type, '' as "user", t as step_ms, sum(k) as value from w where n = 'view' group by n, t""")
@@ -261,3 +300,16 @@ QUERIES["M9_detected_fields"] = lambda spark, d: discovery.detected_fields(demo.
 ORACLE["M9_detected_fields"] = "select 'k' as name, 'string' as type, true as many"
 QUERIES["M9_field_values"] = lambda spark, d: discovery.field_values(demo.logs(spark, d), "k")
 ORACLE["M9_field_values"] = "select distinct props->>'k' as value from events"
+
+# the guard on rates
+
+_DAYS = "with e as (select epoch_us(ts) * 1000 as ts_ns, props as line, row_number() over (partition by epoch_us(ts) // 86400000000 order by ts, props) as k, epoch_us(ts) // 86400000000 as d from events)"
+_LIMITED = {
+    "drop": (safety.Limits(20, 0, "drop", period_ns=DAY * 10**6), "select ts_ns, line from e where k <= 20"),
+    "sample": (safety.Limits(20, 25, "sample", "drop", DAY * 10**6, 2, 2), "select ts_ns, line from e where k <= 20 or (k <= 25 and (k - 20 <= 2 or (k - 20) % 2 = 0))"),
+    "truncate": (safety.Limits(20, 0, "truncate", period_ns=DAY * 10**6, window_ns=DAY * 10**6), "select ts_ns, line from e where k <= 20 union all select min(ts_ns), count(*) || ' suppressed' from e where k > 20 group by d"),
+    "compact": (safety.Limits(5, 0, "compact", period_ns=DAY * 10**6, window_ns=DAY * 10**6, compact_threshold=2), ", c as (select *, row_number() over (partition by d, line order by ts_ns) as r from e where k > 5) select ts_ns, line from e where k <= 5 union all select ts_ns, line from c where r < 2 union all select min(ts_ns), count(*) || ' collapsed: ' || line from c where r >= 2 group by d, line"),
+}
+for _key, (_limits, _sql) in _LIMITED.items():
+    QUERIES[f"S23_{_key}"] = lambda spark, d, limits=_limits: safety.guard(demo.logs(spark, d), limits).select("ts_ns", "line")
+    ORACLE[f"S23_{_key}"] = f"{_DAYS} {_sql}"

@@ -20,6 +20,11 @@ def key(labels: Column) -> Column:
     return F.to_json(F.array_sort(F.map_entries(labels)))
 
 
+def of_key(k: Column) -> Column:
+    """The labels that key() was made from."""
+    return F.map_from_entries(F.from_json(k, "array<struct<key:string,value:string>>"))
+
+
 def get(labels: Column, name: str) -> Column:
     """A missing label is the empty string."""
     return F.coalesce(labels[name], F.lit(""))

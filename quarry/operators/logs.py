@@ -376,7 +376,7 @@ def _counter(window: int) -> Column:
     inside = F.col("p_ts") > F.col("step_ms") - window
     first, last, n = F.min_by("value", "ts_ns"), F.max_by("value", "ts_ns"), F.count("*")
     first_ts, last_ts = F.min("ts_ms"), F.max("ts_ms")
-    moved = last - first + F.sum(F.when(inside & (F.col("p") > v), F.col("p")).otherwise(0.0))
+    moved = last - first + F.sum(F.when(inside & N.compare(">", F.col("p"), v), F.col("p")).otherwise(0.0))
     took = (last_ts - first_ts) / 1000.0
     gap = took / F.when(n > 1, n - 1)
     before, after = F.lit(window / 1000.0), F.lit(0.0)

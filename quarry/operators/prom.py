@@ -18,8 +18,11 @@ from ..functions import labels as L
 from ..functions import numbers as N
 from ..plans import promql as P
 from ..plans.lexer import QueryError
+from . import native, sliding
 from .grid import Grid
 
+#: Windows that overlap as often as this are reduced in chunks (see ``sliding``); others by a fan-out and a hash aggregate.
+OVERLAP = 8
 LOOKBACK = 300_000
 SUBQUERY_STEP = 60_000
 SET_OPS = {"and", "or", "unless"}
@@ -48,6 +51,8 @@ class Value:
     df: DataFrame
     scalar: bool = False
     constant: float | None = None
+    unique: bool = False  # no two series of a step have the same labels
+    one_name: bool = False  # nor would they without their metric name
 
 
 def _window_functions(window: int) -> dict:
@@ -56,7 +61,8 @@ def _window_functions(window: int) -> dict:
     inside = F.col("p_ts") > t - window  # the sample before is in the window too
     first, last, n = F.min_by("value", "ts_ms"), F.max_by("value", "ts_ms"), F.count("*")
     first_ts, last_ts = F.min("ts_ms"), F.max("ts_ms")
-    resets = F.sum(F.when(inside & (F.col("p_value") > v), F.col("p_value")).otherwise(0.0))
+    fell = inside & N.compare(">", F.col("p_value"), v)  # with NaN nothing falls
+    resets = F.sum(F.when(fell, F.col("p_value")).otherwise(0.0))
 
     def extrapolated(counter: bool, rate: bool) -> Column:
         moved = last - first + (resets if counter else 0)
@@ -74,7 +80,7 @@ def _window_functions(window: int) -> dict:
     tail = F.max_by(F.struct("value", "ts_ms", "p_ts", "p_value", inside.alias("two")), "ts_ms")
 
     def instant(counter: bool) -> Column:
-        step = F.when((tail["value"] < tail["p_value"]) & F.lit(counter), tail["value"]).otherwise(tail["value"] - tail["p_value"])
+        step = F.when(N.compare("<", tail["value"], tail["p_value"]) & F.lit(counter), tail["value"]).otherwise(tail["value"] - tail["p_value"])
         took = (tail["ts_ms"] - tail["p_ts"]) / 1000.0
         return F.when(F.coalesce(tail["two"], F.lit(False)), step / F.when(took != 0, took) if counter else step)
 
@@ -84,7 +90,7 @@ def _window_functions(window: int) -> dict:
         "count_over_time": n.cast("double"), "sum_over_time": F.sum(v), "avg_over_time": F.avg(v), "min_over_time": N.least_number(v), "max_over_time": N.most_number(v),
         "last_over_time": last, "first_over_time": first, "present_over_time": F.max(F.lit(1.0)), "stddev_over_time": F.stddev_pop(v), "stdvar_over_time": F.var_pop(v),
         "rate": extrapolated(True, True), "increase": extrapolated(True, False), "delta": extrapolated(False, False), "irate": instant(True), "idelta": instant(False),
-        "changes": F.sum(F.when(inside & (F.col("p_value") != v), 1.0).otherwise(0.0)), "resets": F.sum(F.when(inside & (F.col("p_value") > v), 1.0).otherwise(0.0)),
+        "changes": F.sum(F.when(inside & (F.col("p_value") != v), 1.0).otherwise(0.0)), "resets": F.sum(F.when(fell, 1.0).otherwise(0.0)),
         "deriv": F.when(n > 1, slope),
         "ts_of_first_over_time": F.min("ts_ms") / 1000.0, "ts_of_last_over_time": F.max("ts_ms") / 1000.0,
         "ts_of_max_over_time": F.max_by("ts_ms", F.struct(F.when(~F.isnan(v), v), ts)) / 1000.0, "ts_of_min_over_time": F.max_by("ts_ms", F.struct(F.when(~F.isnan(v), -v), ts)) / 1000.0,
@@ -92,21 +98,34 @@ def _window_functions(window: int) -> dict:
     }
 
 
+#: Aggregates that pass series on as they are.
+FILTERS = {"topk", "bottomk", "limitk", "limit_ratio"}
 NEIGHBOURS = {"rate", "increase", "irate", "idelta", "changes", "resets"}
 KEEP_NAME = {"last_over_time", "first_over_time"}
 RANGE_FUNCTIONS = {"count_over_time", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "last_over_time", "first_over_time", "present_over_time", "stddev_over_time", "stdvar_over_time", "rate", "increase", "delta", "irate", "idelta", "changes", "resets", "deriv", "ts_of_first_over_time", "ts_of_last_over_time", "ts_of_max_over_time", "ts_of_min_over_time", "mad_over_time", "predict_linear", "quantile_over_time", "double_exponential_smoothing"}
 
 
+def _named(e) -> bool:
+    """Whether a selector takes series of one metric name only."""
+    return isinstance(e, P.Selector) and any(name == L.NAME and op == "=" for name, op, _ in e.matchers)
+
+
 def _median(sorted_: Column) -> Column:
     n = F.size(sorted_)
     return (F.get(sorted_, ((n - 1) / 2).cast("int")) + F.get(sorted_, (n / 2).cast("int"))) / 2
 
 
 class PromEngine:
-    """query_range and query over samples (labels MAP, ts_ms LONG, value DOUBLE[, stale BOOLEAN])."""
+    """query_range and query over samples (labels MAP, ts_ms LONG, value DOUBLE[, stale BOOLEAN]).
+
+    With a series table (series_id, labels MAP) samples have series_id in place of labels: matchers then read the
+    series only, samples are joined by a long, and labels are put on after windows are reduced. Native histograms
+    (see ``native``) are what histogram functions of a selector read beside classic buckets.
+    """
 
-    def __init__(self, samples: DataFrame, lookback_ms: int = LOOKBACK):
+    def __init__(self, samples: DataFrame, lookback_ms: int = LOOKBACK, series: DataFrame | None = None, histograms: DataFrame | None = None):
         self.spark: SparkSession = samples.sparkSession
+        self.series, self.histograms = series, histograms
         self.samples = samples if "stale" in samples.columns else samples.withColumn("stale", F.lit(False))
         self.lookback = lookback_ms
 
@@ -114,13 +133,13 @@ class PromEngine:
 
     def query_range(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
         out = self._eval(P.parse(query), Grid(start_ms, end_ms, step_ms))
-        return self._no_twins(out) if not out.scalar else out.df
+        return out.df if out.scalar or out.unique else self._no_twins(out)
 
     def query(self, query: str, at_ms: int) -> DataFrame:
         tree = P.parse(query)
         if isinstance(tree, P.Selector) and tree.range_ms:
             rows = self._select(tree, Grid(at_ms, at_ms, 1))
-            return rows.where((F.col("ts_ms") > at_ms - tree.range_ms) & (F.col("ts_ms") <= at_ms)).select("labels", "ts_ms", "value")
+            return self._labelled(rows.where((F.col("ts_ms") > at_ms - tree.range_ms) & (F.col("ts_ms") <= at_ms))).select("labels", "ts_ms", "value")
         return self.query_range(query, at_ms, at_ms, 1)
 
     def _no_twins(self, v: Value) -> DataFrame:
@@ -132,11 +151,41 @@ class PromEngine:
     # selectors
 
     def _select(self, s: P.Selector, grid: Grid) -> DataFrame:
-        """Samples of a selector, at the time at which the grid sees them; pinned ones are handled by the caller."""
+        """Samples of a selector (k names the series), at the time at which the grid sees them; pinned ones are handled by the caller."""
         cond = F.lit(True)
         for name, op, text in s.matchers:
             cond &= L.match(L.get(F.col("labels"), name), op, text)
-        return self.samples.where(cond).withColumn("ts_ms", F.col("ts_ms") + s.offset_ms)
+        if self.series is None:
+            rows = self.samples.where(cond).withColumn("k", L.key(F.col("labels")))
+        else:
+            rows = self.samples.join(self.series.where(cond).select("series_id"), "series_id", "left_semi").withColumnRenamed("series_id", "k")
+        return rows.withColumn("ts_ms", F.col("ts_ms") + s.offset_ms)
+
+    def _histograms(self, s, grid: Grid, made: Column) -> DataFrame | None:
+        """made of the last native histogram that a selector sees at each step; None where there are none to read."""
+        if self.histograms is None or not isinstance(s, P.Selector) or s.range_ms:
+            return None
+        cond = F.lit(True)
+        for name, op, text in s.matchers:
+            cond &= L.match(L.get(F.col("labels"), name), op, text)
+
+        def run(e: P.Selector, g: Grid) -> DataFrame:
+            rows = self.histograms.where(cond).withColumns({"k": L.key(F.col("labels")), "ts_ms": F.col("ts_ms") + e.offset_ms})
+            columns = [c for c in rows.columns if c not in ("k", "labels")]
+            last = g.fan_out(rows, self.lookback).groupBy("k", "step_ms").agg(F.max_by(F.struct(*columns), "ts_ms").alias("h"))
+            out = native.buckets(last.select("k", "step_ms", "h.*")).select("k", "step_ms", made.alias("value"))
+            return self._nameless(self._labelled_text(out)).select("labels", "step_ms", "value")
+
+        return self._pinned(s, grid, run)
+
+    def _labelled_text(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("labels", L.of_key(F.col("k")))
+
+    def _labelled(self, df: DataFrame) -> DataFrame:
+        """df with the labels of its series k."""
+        if dict(df.dtypes)["k"] == "string":
+            return self._labelled_text(df)
+        return df.join(self.series.select(F.col("series_id").alias("k"), "labels"), "k")
 
     def _pinned(self, e, grid: Grid, evaluate) -> DataFrame:
         """With @ the window stands still: it is evaluated once and given to all steps."""
@@ -149,9 +198,9 @@ class PromEngine:
     def _instant(self, s: P.Selector, grid: Grid, stamp: bool = False) -> DataFrame:
         def run(e: P.Selector, g: Grid) -> DataFrame:
             rows = g.fan_out(self._select(e, g), self.lookback)
-            last = rows.groupBy("labels", "step_ms").agg(F.max_by(F.struct("value", "stale", "ts_ms"), "ts_ms").alias("x")).where("not x.stale")
+            last = rows.groupBy("k", "step_ms").agg(F.max_by(F.struct("value", "stale", "ts_ms"), "ts_ms").alias("x")).where("not x.stale")
             value = (F.col("x.ts_ms") - e.offset_ms) / 1000.0 if stamp else F.col("x.value")
-            return last.select("labels", "step_ms", value.alias("value"))
+            return self._labelled(last.select("k", "step_ms", value.alias("value"))).select("labels", "step_ms", "value")
 
         return self._pinned(s, grid, run)
 
@@ -162,11 +211,13 @@ class PromEngine:
                 step = e.step_ms or SUBQUERY_STEP
                 low, high = g.start - e.offset_ms - window, g.last - e.offset_ms
                 inner = Grid((low // step + 1) * step, high, step)
-                rows = self._vector(self._eval(e.expr, inner), inner).withColumnRenamed("step_ms", "ts_ms").withColumn("ts_ms", F.col("ts_ms") + e.offset_ms)
+                rows = self._vector(self._eval(e.expr, inner), inner).withColumnRenamed("step_ms", "ts_ms").withColumn("ts_ms", F.col("ts_ms") + e.offset_ms).withColumn("k", L.key(F.col("labels")))
             else:
                 rows = self._select(e, g).where("not stale")
-            rows = rows.where((F.col("ts_ms") > g.start - window) & (F.col("ts_ms") <= g.last)).select("labels", "ts_ms", "value")
-            rows = rows.withColumn("k", L.key(F.col("labels")))
+            rows = rows.where((F.col("ts_ms") > g.start - window) & (F.col("ts_ms") <= g.last)).select("k", "ts_ms", "value")
+            if window >= OVERLAP * g.step and name in sliding.FUNCTIONS:
+                out = self._labelled(sliding.over_time(rows, g, window, name)).select("labels", F.explode(F.arrays_zip("step_ms", "value")).alias("x")).select("labels", "x.step_ms", "x.value")
+                return out if name in KEEP_NAME else self._nameless(out)
             if name in NEIGHBOURS:
                 before = Window.partitionBy("k").orderBy("ts_ms")
                 rows = rows.withColumns({"p_ts": F.lag("ts_ms").over(before), "p_value": F.lag("value").over(before)})
@@ -184,7 +235,7 @@ class PromEngine:
                 made = _smoothed(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))), lambda s: s["value"]), *args)
             else:
                 made = _window_functions(window)[name]
-            out = grouped.agg(F.any_value("labels").alias("labels"), made.alias("value"))
+            out = self._labelled(grouped.agg(made.alias("value")))
             if name == "mad_over_time":
                 out = out.withColumn("value", _median(F.array_sort(F.transform("value", lambda y: F.abs(y - _median(F.col("value")))))))
             if name not in KEEP_NAME:
@@ -203,19 +254,23 @@ class PromEngine:
         if isinstance(e, P.Selector):
             if e.range_ms:
                 raise QueryError("a range needs a function")
-            return Value(self._instant(e, grid))
+            return Value(self._instant(e, grid), unique=True, one_name=_named(e))
         if isinstance(e, P.Unary):
             v = self._eval(e.expr, grid)
             df = v.df.withColumn("value", -F.col("value"))
-            return Value(df, True, None if v.constant is None else -v.constant) if v.scalar else Value(self._nameless(df))
+            return Value(df, True, None if v.constant is None else -v.constant) if v.scalar else self._same(v, df)
         if isinstance(e, P.Aggregate):
-            return Value(self._aggregate(e, grid))
+            return Value(self._aggregate(e, grid), unique=e.op not in FILTERS, one_name=L.NAME not in (e.by or ()) and e.op not in FILTERS)
         if isinstance(e, P.Binary):
             return self._binary(e, grid)
         if isinstance(e, P.Call):
             return self._call(e, grid)
         raise QueryError(f"can't evaluate {e}")
 
+    def _same(self, v: Value, df: DataFrame) -> Value:
+        """df with the series of v, without their names."""
+        return Value(self._nameless(df), unique=v.one_name, one_name=v.one_name)
+
     def _nameless(self, df: DataFrame) -> DataFrame:
         return df.withColumn("labels", L.drop(F.col("labels"), [L.NAME]))
 
@@ -234,7 +289,8 @@ class PromEngine:
             ranged = [a for a in args if isinstance(a, P.Subquery) or isinstance(a, P.Selector) and a.range_ms]
             if len(ranged) != 1:
                 raise QueryError(f"{name} takes a range")
-            return Value(self._range(name, ranged[0], grid, [self._number(a, grid) for a in args if a is not ranged[0]]))
+            single = _named(ranged[0])
+            return Value(self._range(name, ranged[0], grid, [self._number(a, grid) for a in args if a is not ranged[0]]), unique=single or name in KEEP_NAME and isinstance(ranged[0], P.Selector), one_name=single)
         if name in ("absent", "absent_over_time"):
             return Value(self._absent(name, args[0], grid))
         if name == "pi":
@@ -245,6 +301,16 @@ class PromEngine:
             return Value(self._nameless(self._instant(args[0], grid, stamp=True)))
         if name in DATES and not args:
             return Value(grid.steps(self.spark).select(L.empty().alias("labels"), "step_ms", DATES[name](F.col("step_ms") / 1000.0).cast("double").alias("value")))
+        if name == "histogram_quantile":
+            q = self._number(args[0], grid)
+            classic = histogram_quantile(self._eval(args[1], grid).df, q)
+            found = self._histograms(args[1], grid, native.quantile(q))
+            return Value(classic if found is None else classic.unionByName(found))
+        if name in native.PARTS:
+            found = self._histograms(args[0], grid, native.PARTS[name]())
+            if found is None:
+                raise QueryError(f"{name} takes a selector of native histograms")
+            return Value(found)
         v = self._eval(args[0], grid)
         if name == "vector":
             return Value(self._vector(v, grid))
@@ -265,20 +331,17 @@ class PromEngine:
         if name == "label_join":
             target, sep, *sources = (a.value for a in args[1:])
             return Value(v.df.withColumn("labels", L.put(F.col("labels"), target, F.concat_ws(sep, *(L.get(F.col("labels"), s) for s in sources)))))
-        if name == "histogram_quantile":
-            inner = self._eval(args[1], grid)
-            return Value(histogram_quantile(inner.df, self._number(args[0], grid)))
         if name in ("clamp", "clamp_min", "clamp_max"):
             bounds = [self._number(a, grid) for a in args[1:]]
             low, high = {"clamp": (bounds[0], bounds[-1]), "clamp_min": (bounds[0], math.inf), "clamp_max": (-math.inf, bounds[0])}[name]
             df = v.df.where(F.lit(not low > high))
             clamped = N.nan() if math.isnan(low) or math.isnan(high) else F.when(F.isnan(value), value).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
-            return Value(self._nameless(df.withColumn("value", clamped)))
+            return self._same(v, df.withColumn("value", clamped))
         if name == "round":
             to = 1 / (self._number(args[1], grid) if len(args) > 1 else 1.0)
-            return Value(self._nameless(v.df.withColumn("value", F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(F.floor(value * to + 0.5) / to))))
+            return self._same(v, v.df.withColumn("value", F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(F.floor(value * to + 0.5) / to)))
         if name in MATH:
-            return Value(self._nameless(v.df.withColumn("value", MATH[name](value).cast("double"))))
+            return self._same(v, v.df.withColumn("value", MATH[name](value).cast("double")))
         if name in DATES:
             return Value(self._nameless(v.df.withColumn("value", DATES[name](value).cast("double"))))
         raise QueryError(f"unknown function {name}")
@@ -363,9 +426,9 @@ class PromEngine:
                 df = vector.df.join(F.broadcast(other.df.withColumnRenamed("value", "s")), "step_ms")  # a row for each step
             x, y = (F.col("s"), F.col("value")) if swap else (F.col("value"), F.col("s"))
             if comparison and not e.bool_:
-                return Value(df.where(N.compare(e.op, x, y)).select("labels", "step_ms", "value"))
-            return Value(self._nameless(df.select("labels", "step_ms", made(x, y).alias("value"))))
-        return Value(self._match(e, a.df, b.df, made, comparison))
+                return replace(vector, df=df.where(N.compare(e.op, x, y)).select("labels", "step_ms", "value"))
+            return self._same(vector, df.select("labels", "step_ms", made(x, y).alias("value")))
+        return Value(self._match(e, a.df, b.df, made, comparison), unique=e.group is None, one_name=e.group is None)
 
     def _signature(self, e: P.Binary) -> Column:
         if e.on is not None:

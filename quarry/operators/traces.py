@@ -382,14 +382,15 @@ def nested_sets(spans: DataFrame) -> DataFrame:
     Spans without a parent in their trace begin trees, in the order of start and id, as children do; _parent is the
     parent's left number, -1 without one. What hangs on a ring of parents has none. Ids of one trace meet in a task.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def number(trace: pd.DataFrame) -> pd.DataFrame:
-        trace = trace.drop_duplicates("span_id").sort_values(["start_ns", "span_id"])
-        ids, parents = trace["span_id"].tolist(), trace["parent_span_id"].tolist()
+    def number(trace: pa.Table) -> pa.Table:
+        rows = sorted({(s, i, p) for i, p, s in zip(*(trace.column(c).to_pylist() for c in ("span_id", "parent_span_id", "start_ns")), strict=True)}, key=lambda r: (r[0], r[1], r[2] or ""))
+        parents = dict((i, p) for _, i, p in reversed(rows))
+        ids = list(dict.fromkeys(i for _, i, _ in rows))
         there, below = set(ids), {}
-        for i, p in zip(ids, parents, strict=True):
-            below.setdefault(p if p in there else None, []).append(i)
+        for i in ids:
+            below.setdefault(parents[i] if parents[i] in there else None, []).append(i)
         left, right, above, n = {}, {}, {}, 0
         todo = [(i, -1, False) for i in reversed(below.get(None, []))]
         while todo:
@@ -402,6 +403,7 @@ def nested_sets(spans: DataFrame) -> DataFrame:
             todo.append((i, p, True))
             todo += [(k, n, False) for k in reversed(below.get(i, []))]
         some = list(left)
-        return pd.DataFrame({"trace_id": trace["trace_id"].iloc[0], "span_id": some, "_left": [left[i] for i in some], "_right": [right[i] for i in some], "_parent": [above[i] for i in some]})
+        numbers = (pa.array([x[i] for i in some], pa.int64()) for x in (left, right, above))
+        return pa.Table.from_arrays([pa.array([trace.column("trace_id")[0].as_py()] * len(some), pa.string()), pa.array(some, pa.string()), *numbers], ["trace_id", "span_id", "_left", "_right", "_parent"])
 
-    return spans.select("trace_id", "span_id", "parent_span_id", "start_ns").groupBy("trace_id").applyInPandas(number, "trace_id string, span_id string, _left long, _right long, _parent long")
+    return spans.select("trace_id", "span_id", "parent_span_id", "start_ns").groupBy("trace_id").applyInArrow(number, "trace_id string, span_id string, _left long, _right long, _parent long")

@@ -94,3 +94,46 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of a part's type are a stack."""
     p = _read(spark, sf_dir, "part")
     return p.select(F.lit("cpu:cpu:nanoseconds:cpu:nanoseconds").alias("profile_type"), F.create_map(F.lit("service_name"), F.col("p_brand")).alias("labels"), (F.col("p_partkey") * 1_000_000_000).alias("ts_ns"), F.split("p_type", " ").alias("stack"), F.col("p_size").cast("long").alias("value"))
+
+
+def otlp_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as export requests in JSON, a request a line."""
+    kv = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    rows = access_logs(spark, sf_dir)
+    record = F.struct(F.col("ts_ns").cast("string").alias("timeUnixNano"), F.lit(9).alias("severityNumber"), F.struct(F.col("line").alias("stringValue")).alias("body"), F.array(kv("http.status", F.col("labels")["status"])).alias("attributes"))
+    scope = F.struct(F.struct(F.lit("demo").alias("name")).alias("scope"), F.array(record).alias("logRecords"))
+    top = F.struct(F.struct(F.array(kv("service.name", F.lit("orders"))).alias("attributes")).alias("resource"), F.array(scope).alias("scopeLogs"))
+    return rows.select(F.to_json(F.struct(F.array(top).alias("resourceLogs"))).alias("value"))
+
+
+def otlp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as gauges in export requests."""
+    e = _read(spark, sf_dir, "events")
+    kv = lambda k, v, kind="stringValue": F.struct(F.lit(k).alias("key"), F.struct(v.alias(kind)).alias("value"))
+    at = (F.unix_millis(F.col("ts").cast("timestamp")) * 10**6).cast("string")
+    point = F.struct(F.array(kv("user.id", F.col("user_id").cast("string"), "intValue")).alias("attributes"), at.alias("timeUnixNano"), F.col("value").alias("asDouble"))
+    metric = F.struct(F.col("event_type").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))
+    scope = F.struct(F.struct(F.lit("demo").alias("name")).alias("scope"), F.array(metric).alias("metrics"))
+    top = F.struct(F.struct(F.array(kv("job", F.lit("events"))).alias("attributes")).alias("resource"), F.array(scope).alias("scopeMetrics"))
+    return e.select(F.to_json(F.struct(F.array(top).alias("resourceMetrics"))).alias("value"))
+
+
+def otlp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root turns and their replies as spans in export requests."""
+    c = _read(spark, sf_dir, "conversations")
+    kv = lambda k, v, kind="stringValue": F.struct(F.lit(k).alias("key"), F.struct(v.alias(kind)).alias("value"))
+    hex_ = lambda x, n: F.lpad(F.upper(F.hex(x)), n, "0")
+    start = F.col("conv_id") * 10**9 + F.col("turn") * 10**6
+    span = F.struct(hex_("conv_id", 32).alias("traceId"), hex_(F.col("turn") + 1, 16).alias("spanId"), F.when(F.col("turn") > 0, hex_("turn", 16)).otherwise("").alias("parentSpanId"), F.concat(F.lit("turn-"), "role").alias("name"), F.lit(2).alias("kind"), start.cast("string").alias("startTimeUnixNano"), (start + F.length("text") * 1000).cast("string").alias("endTimeUnixNano"), F.array(kv("turn", F.col("turn").cast("string"), "intValue")).alias("attributes"), F.struct(F.lit(1).alias("code")).alias("status"))
+    scope = F.struct(F.struct(F.lit("demo").alias("name"), F.lit("1").alias("version")).alias("scope"), F.array(span).alias("spans"))
+    top = F.struct(F.struct(F.array(kv("service.name", F.col("role"))).alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))
+    return c.where("conv_id is not null and turn is not null").select(F.to_json(F.struct(F.array(top).alias("resourceSpans"))).alias("value"))
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as bodies of records that ask for their format to be found, and the events' JSON in a named format."""
+    none = F.create_map().cast("map<string,string>")
+    blank = [F.lit("").alias(c) for c in ("severity_text", "trace_id", "span_id")]
+    lines = access_logs(spark, sf_dir).select("ts_ns", F.concat(F.lit("level=warn msg=\""), F.col("labels")["status"], F.lit("\" "), "line").alias("body"), *blank, F.create_map(F.lit("log.parse"), F.lit("yes")).alias("attributes"))
+    json = logs(spark, sf_dir).select("ts_ns", "line", *blank, F.create_map(F.lit("log.format"), F.lit("generic-json")).alias("attributes")).withColumnRenamed("line", "body")
+    return lines.unionByName(json).withColumns({"scope": none, "resource": none})

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
+
 KLOG = r"^([IWEF])(\d{4} \d{2}:\d{2}:\d{2}\.\d+)\s+(\d+) ([^ \]]+:\d+)\] (.*)$"
 ZAP = r"^(\S+)\t(DEBUG|INFO|WARN|ERROR|DPANIC|PANIC|FATAL)\t(?:([A-Za-z][\w.-]*)\t)?(?:(\S+\.go:\d+)\t)?([^\t]*)(?:\t(\{.*\}))?$"
 PAIR = r'([A-Za-z_][\w.]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
-MESSAGE, LEVEL, TIME = ("message", "msg", "body"), ("level", "lvl", "severity", "levelStr"), ("timestamp", "time", "ts", "@timestamp")
+#: Names of fields that have a meaning, the likeliest first.
+MESSAGE, LEVEL, TIME = ("message", "msg"), ("level", "lvl", "levelStr", "severity_text", "severity", "levelname"), ("timestamp", "@timestamp", "time", "ts", "t")
+TRACE_ID, SPAN_ID = ("trace_id", "traceid", "traceID", "traceId"), ("span_id", "spanid", "spanID", "spanId")
 
 
 def severity(text: Column) -> Column:
@@ -54,5 +58,27 @@ def parse(df: DataFrame, line: str = "line") -> DataFrame:
     body = F.when(kind == "klog", F.coalesce(F.nullif(F.regexp_extract(c, KLOG[:-5] + r'"((?:[^"\\]|\\.)*)".*$', 5), F.lit("")), F.regexp_extract(c, KLOG, 5))).when(kind == "zap-development", F.regexp_extract(c, ZAP, 5)).when(kind.isNotNull(), F.coalesce(_first(f, MESSAGE), F.lit(""))).otherwise(c)
     level = F.when(kind == "klog", F.regexp_extract(c, KLOG, 1)).when(kind == "zap-development", F.regexp_extract(c, ZAP, 2)).otherwise(_first(f, LEVEL))
     time = F.when(kind == "zap-development", F.regexp_extract(c, ZAP, 1)).otherwise(_first(f, TIME))
-    rest = F.map_filter(f, lambda k, v: ~k.isin(*MESSAGE, *LEVEL, *TIME))
-    return df.withColumns({"body": body, "severity_text": severity(level), "parsed_ts_ns": epoch_ns(time), "attributes": rest}).drop("_f")
+    rest = F.map_filter(f, lambda k, v: ~k.isin(*MESSAGE, *LEVEL, *TIME, *TRACE_ID, *SPAN_ID))
+    ids = {name: F.lower(F.when(v.rlike(f"^[0-9a-fA-F]{{{n}}}$"), v)) for name, v, n in (("trace_id", _first(f, TRACE_ID), 32), ("span_id", _first(f, SPAN_ID), 16))}
+    return df.withColumns({"body": body, "severity_text": severity(level), "parsed_ts_ns": epoch_ns(time), "attributes": rest, **ids}).drop("_f")
+
+
+def consume(records: DataFrame, format_attributes: tuple[str, ...] = ("log.format",), trigger_attributes: tuple[str, ...] = ("log.parse",)) -> DataFrame:
+    """Records (ts_ns, body, severity_text, trace_id, span_id, attributes, scope, resource) with what their bodies say merged in.
+
+    A body is parsed if an attribute names its format, or if a trigger attribute asks for the format to be found. What
+    it says of time, severity and ids counts before the record's own; its fields join the attributes. A body that isn't
+    of the format named stays as it is.
+    """
+    parsed = parse(records.select(F.struct(*records.columns).alias("r"), F.col("body").alias("line")))
+    own = F.coalesce(*(F.col("r.attributes")[a] for a in format_attributes))
+    asked = F.lit(False)
+    for a in trigger_attributes:
+        asked |= F.map_contains_key("r.attributes", a)
+    use = F.col("format").isNotNull() & F.when(own.isNull(), asked).otherwise(F.array_contains(F.split(own, ","), F.col("format")))
+    said = {"ts_ns": F.col("parsed_ts_ns"), **{c: F.col(c) for c in ("body", "severity_text", "trace_id", "span_id")}}
+    merged = L.merge(F.col("r.attributes"), F.coalesce("attributes", L.empty()))
+    return parsed.select(
+        *(F.when(use, F.coalesce(v, F.col(f"r.{c}"))).otherwise(F.col(f"r.{c}")).alias(c) for c, v in said.items()),
+        F.when(use, merged).otherwise(F.col("r.attributes")).alias("attributes"), F.col("r.scope").alias("scope"), F.col("r.resource").alias("resource"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,30 @@ from ..functions import numbers as N
 STALE_BITS = 0x7FF0000000000002
 
 
-def write(df: DataFrame, path: str, time: str = "ts_ns", per_second: int = 10**9, sort: tuple[str, ...] = ()) -> None:
+def write(df: DataFrame, path: str, by: str = "ts_ns", per_second: int = 10**9, sort: tuple[str, ...] = ()) -> None:
     """Partitioned by day, sorted inside files so that scans can skip row groups."""
-    day = F.to_date(F.timestamp_seconds((F.col(time) / per_second).cast("long")))
-    out = df.withColumn("day", day).repartition("day", F.pmod(F.col(time), F.lit(16)))
-    out.sortWithinPartitions("day", *sort, time).write.mode("append").partitionBy("day").parquet(path)
+    day = F.to_date(F.timestamp_seconds(N.floor_div(F.col(by), per_second)))
+    out = df.withColumn("day", day).repartition("day", F.pmod(F.col(by), F.lit(16)))
+    out.sortWithinPartitions("day", *sort, by).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read(spark: SparkSession, path: str, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
+    """The table; with bounds (seconds, both included) only the folders of their days are listed and read."""
+    df = spark.read.parquet(path)
+    for bound, test in ((start_s, ">="), (end_s, "<=")):
+        if bound is not None:
+            df = df.where(f"day {test} date'{time.strftime('%Y-%m-%d', time.gmtime(bound))}'")
+    return df.drop("day")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+def with_series(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples (labels, ts_ms, value) as samples (series_id, ts_ms, value) and series (series_id, labels).
+
+    An id is a 64-bit hash of all labels: two series of the same id would be one, at 10^9 series with a chance of 3 %.
+    """
+    sid = F.xxhash64(L.key(F.col("labels"))).alias("series_id")
+    series = samples.select(sid, "labels").groupBy("series_id").agg(F.any_value("labels").alias("labels"))
+    return samples.select(sid, *(c for c in samples.columns if c != "labels")), series
 
 
 def histogram_samples(points: DataFrame) -> DataFrame:
@@ -54,3 +71,26 @@ def log_labels(logs: DataFrame) -> DataFrame:
         made = L.merge(made, L.label_names(F.col(c)))
     named = F.when(F.map_contains_key(made, "service_name"), made).otherwise(L.put(made, "service_name", F.lit("unknown_service")))
     return logs.select("ts_ns", F.col("body").alias("line"), named.alias("labels"))
+
+
+def copy(spark: SparkSession, source: str, target: str, signals: tuple[str, ...] = ("logs", "metrics", "series", "spans", "profiles")) -> dict[str, int]:
+    """Backup and restore: the tables of a store, a folder for each signal, rewritten in another; rows of each that was there."""
+    done = {}
+    for name in signals:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            df = spark.read.parquet(f"{source}/{name}")
+            df.write.mode("errorifexists").partitionBy(*(["day"] if "day" in df.columns else [])).parquet(f"{target}/{name}")
+            done[name] = spark.read.parquet(f"{target}/{name}").count()
+    return done
+
+
+def container_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(ts_ns, line, labels) of container log files in JSON lines (log, stream, time), <path>/<container>/*.log.
+
+    Containers are labels; the order of entries is that of a query.
+    """
+    rows = spark.read.text(f"{path}/*/*.log").select(F.from_json("value", "log string, stream string, time string").alias("r"), F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("container"))
+    at = F.regexp_extract(F.col("r.time"), r"\.(\d+)", 1)
+    ns = F.unix_micros(F.date_trunc("second", F.to_timestamp("r.time"))) * 1000 + F.rpad(at, 9, "0").cast("long")
+    return rows.where("r.log is not null").select(F.coalesce(ns, F.unix_micros(F.to_timestamp("r.time")) * 1000).alias("ts_ns"), F.rtrim(F.col("r.log"), F.lit("\n")).alias("line"), F.create_map(F.lit("container"), F.col("container"), F.lit("stream"), F.coalesce("r.stream", F.lit("stdout"))).alias("labels"))
