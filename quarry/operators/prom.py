@@ -215,7 +215,7 @@ class PromEngine:
             else:
                 rows = self._select(e, g).where("not stale")
             rows = rows.where((F.col("ts_ms") > g.start - window) & (F.col("ts_ms") <= g.last)).select("k", "ts_ms", "value")
-            if window >= OVERLAP * g.step and name in sliding.FUNCTIONS:
+            if min(window, g.last + g.step - g.start) >= OVERLAP * g.step and name in sliding.FUNCTIONS:
                 out = self._labelled(sliding.over_time(rows, g, window, name)).select("labels", F.explode(F.arrays_zip("step_ms", "value")).alias("x")).select("labels", "x.step_ms", "x.value")
                 return out if name in KEEP_NAME else self._nameless(out)
             if name in NEIGHBOURS:
