@@ -9,6 +9,9 @@ Spans are code point offsets, end exclusive. A rule is a pattern and a least len
 matches are leftmost and do not overlap; one that fails its length is dropped but still used up. Offsets
 come from the lengths of matches and of the pieces between them.
 
+A blob of very many rows is no task of its own: blobs with findings, and those with several rows, go to every
+executor if they are counted and few; else the joins are shuffled and their skewed sides split at run time.
+
 Edge cases: null text is the empty text. Rows with equal doc_id are separate paths. Repeated rows repeat
 their findings. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
@@ -50,6 +53,10 @@ MORE = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + MORE
+#: Spans gathered in one array before it is put to the others.
+TOGETHER = 256
+#: Blobs and spans that are sent to every executor at most; about 100 bytes each.
+FEW = 300_000
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -58,7 +65,7 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
 
     def walk(between: Column, found: Column, values: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("all"))
+        none = F.array().cast(SPANS)
 
         def step(acc: Column, k: Column) -> Column:
             start = acc["at"] + F.length(F.get(between, k))
@@ -67,7 +74,13 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
             good = F.length(F.get(values, k)) >= rule.least
             return F.struct(end.alias("at"), F.when(good, F.concat(acc["all"], F.array(one))).otherwise(acc["all"]).alias("all"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["all"])
+        def block(acc: Column, k: Column) -> Column:
+            """Arrays grow by copies: spans are gathered in blocks, so a text of very many stays near linear."""
+            own = F.aggregate(F.sequence(k, F.least(k + TOGETHER, F.size(found)) - 1), F.struct(acc["at"].alias("at"), none.alias("all")), step)
+            return F.struct(own["at"].alias("at"), F.concat(acc["all"], F.array(own["all"])).alias("all"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("all"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(TOGETHER)), begin, block, lambda acc: F.flatten(acc["all"]))
 
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
@@ -111,7 +124,8 @@ class BlobLedger:
         paths = self.ws.keep(rows.select("doc_id", blob.alias("blob")), "paths")
         new = self.ws.keep(self._unseen(paths, rules), "new")
         one = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-        spare = paths.join(one.where("n > 1").select("blob", F.col("doc_id").alias("first")), "blob").where("doc_id <> first or (doc_id is null and first is not null)")
+        many = self.ws.keep(one.where("n > 1").select("blob", F.col("doc_id").alias("first")), "many")
+        spare = paths.join(F.broadcast(many) if many.count() <= FEW else many, "blob").where("doc_id <> first or (doc_id is null and first is not null)")
         spare = self.ws.keep(spare.select("doc_id", "blob").distinct(), "spare")
         todo = self._without(rows.withColumn("blob", blob), spare)
         for names in [r["rules"] for r in new.select("rules").distinct().collect()]:  # sets of rules, of which there are few
@@ -142,10 +156,11 @@ class BlobLedger:
     def report(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
         """For each path its counts, digest and spans."""
         found = self.findings.where(F.col("rule").isin([r.name for r in rules]))
-        per = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        per = self.ws.keep(found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+        n, held = per.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
         all_ = F.coalesce("spans", F.array().cast(SPANS))
         kinds = [r.kind for r in base]
-        out = paths.join(per, "blob", "left").withColumn("spans", all_)
+        out = paths.join(F.broadcast(per) if n + held <= FEW else per, "blob", "left").withColumn("spans", all_)
         counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
         digest = F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(kinds))), 256)
         return out.select("doc_id", *counts, digest.alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -200,6 +200,23 @@ def test_secret_ledger(spark, docs, rows, none):
     assert secret_ledger.BlobLedger(spark).update(none).count() == 0
 
 
+@pytest.mark.parametrize("few", [secret_ledger.FEW, 0])
+def test_secret_ledger_many(spark, few, monkeypatch):
+    """A text of thousands of spans, a blob of many rows, and a new version of a rule that scans known blobs again."""
+    monkeypatch.setattr(secret_ledger, "FEW", few)
+    long = "x token=abcdef1 \u00e9 " * 3000
+    docs = spark.createDataFrame([(k, "secret: abcdefgh") for k in range(400)] + [(1000, long), (1001, None), (1001, "none")], "doc_id long, text string")
+    ledger = secret_ledger.BlobLedger(spark)
+    got = {(r.doc_id, r.n_assign): r.spans for r in ledger.report(ledger.update(docs)).collect()}
+    at = [m.span() for m in re.finditer("token=abcdef1", long)]
+    assert got[1000, 3000] == ",".join(f"assign:{a}:{b}" for a, b in at) and got[7, 1] == "assign:0:16" and got[1001, 0] == "" and len(got) == 402
+    newer = (*secret_ledger.RULES[1:], secret_ledger.Rule("assign", "secret: [a-z]+", version=2))
+    seen = ledger.seen.count()
+    again = ledger.update(docs, newer)
+    assert ledger.seen.count() == seen + 4 and ledger.seen.where("rule = 'assign@2'").count() == 4
+    assert {r.spans for r in ledger.report(again, newer).where("doc_id < 400").collect()} == {"assign:0:16"}
+
+
 def test_string_tiling(spark, docs, none):
     items = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "too short"), (3, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
