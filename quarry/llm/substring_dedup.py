@@ -5,7 +5,8 @@ another). Strings are judged on the input; matches never cross texts.
 
 1. Winnowing picks anchors: in every window of ``length`` bytes the smallest hash of ``GRAM`` bytes, so equal
    windows have an anchor at the same place. An anchor's segment is all bytes a window with it can have.
-2. Rows of hashes (anchor, segment) are sorted by hash. Anchors seen once end here. Segments that are equal
+2. Rows of hashes (anchor, segment) are sorted by hash; those of anchors with more than ``HOT`` rows never meet in a
+   task but are counted by segment. Anchors seen once end here. Segments that are equal
    are repeated as a whole. What is left are different segments of one anchor: where repeats begin or end.
 3. Their bytes are indexed in blocks of whole anchor groups: the suffix array gives the Burrows-Wheeler
    transform, which is run-compressed; matches are computed at the sampled ends of runs only, and the
@@ -32,6 +33,10 @@ from .common import U, Workspace, cut, merge, named, portions, restrict, rolling
 
 GRAM = 64
 GROUP = 16_384
+#: Rows of an anchor that one task takes; anchors of more are counted by segment first.
+HOT = 50_000
+#: Rows of counts that are sent to every executor at most, of 33 bytes each.
+SENT = 500_000
 BLOCK = 4 << 20
 
 
@@ -186,8 +191,28 @@ class SubstringDedup:
             if held is not None:
                 yield judge(held, 1)
 
-        dealt = self._anchors().repartition("h").sortWithinPartitions("h", "segment")
-        return self.ws.keep(dealt.mapInArrow(sift, "kind int, h long, rid long, tie long, a int, b int"), "sifted")
+        ws = self.ws
+        rows = ws.keep(self._anchors(), "anchors")
+        hot = ws.keep(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot-anchors")
+        some = hot.limit(1).count() > 0
+        dealt = (restrict(rows, hot, "h", "left_anti") if some else rows).repartition("h").sortWithinPartitions("h", "segment")
+        out = dealt.mapInArrow(sift, "kind int, h long, rid long, tie long, a int, b int")
+        out = ws.keep(out.unionByName(self._sift_hot(restrict(rows, hot, "h"))) if some else out, "sifted")
+        ws.drop("anchors")
+        return out
+
+    def _sift_hot(self, rows: DataFrame) -> DataFrame:
+        """The same for anchors of very many rows: their segments are counted before they are shuffled, and what was counted is joined to the rows."""
+        ws = self.ws
+        rows = rows.withColumn("mark", F.xxhash64("rid", "tie", "a", "b"))
+        per = ws.keep(rows.groupBy("h", "segment").agg(F.count("*").alias("n"), F.min("mark").alias("first")), "hot-segments")
+        of = ws.keep(per.groupBy("h").agg(F.count("*").alias("segments")), "hot-sizes")
+        kind = F.when(F.col("segments") > 1, F.when(F.col("segments") <= GROUP, 1).otherwise(2))
+        kinds = per.join(F.broadcast(of) if of.count() <= SENT else of, "h").select("h", "segment", "first", (F.col("n") > 1).alias("whole"), kind.alias("compare"))
+        kinds = ws.keep(kinds.where("whole or compare is not null"), "hot-kinds")
+        joined = rows.join(F.broadcast(kinds) if kinds.count() <= SENT else kinds, ["h", "segment"])
+        each = F.array_compact(F.array(F.when(F.col("whole"), 0), F.when(F.col("mark") == F.col("first"), F.col("compare"))))
+        return joined.select(F.explode(each).alias("kind"), "h", "rid", "tie", "a", "b")
 
     def _segments(self, wanted: DataFrame) -> DataFrame:
         """wanted (h, rid, tie, a, b) with the bytes."""

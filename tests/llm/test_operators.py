@@ -134,9 +134,11 @@ def _removed(texts, length):
         yield np.cumsum(covered[:-1]) > 0
 
 
-@pytest.mark.parametrize("group", [substring_dedup.GROUP, 2])
-def test_substring_dedup(docs, rows, none, group, monkeypatch):
+@pytest.mark.parametrize("group,hot,sent", [(substring_dedup.GROUP, substring_dedup.HOT, 9), (2, 3, substring_dedup.SENT), (substring_dedup.GROUP, 1, 0)])
+def test_substring_dedup(docs, rows, none, group, hot, sent, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SENT", sent)
     texts = [(r[1] or "").encode() for r in rows]
     want = Counter()
     for r, b, c in zip(rows, texts, _removed(texts, 200), strict=True):
