@@ -7,6 +7,9 @@ folder that ``spark.checkpoint.dir`` names, so a lost executor never loses them.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +53,11 @@ class Workspace:
             top = getattr(spark, "_quarry_dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
             spark._quarry_dir = top
         self.path = f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+        atexit.register(self.close)  # results read these tables as long as the session lasts
+
+    def close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop("")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns what was written: the lineage ends here."""
@@ -93,7 +101,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 4)
         for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
             p = np.full(size, U(base))
             p[0] = 1
@@ -163,8 +171,11 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with the bytes of their texts (null: empty), of about ``most`` bytes or one text."""
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the bytes of their texts (null: empty), of about ``most`` bytes or one text.
+
+    At the end the worker's free memory goes back to the system: it stands idle beside others until its next task.
+    """
     for batch in batches:
         texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
         a, size = 0, 0
@@ -175,6 +186,9 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             size += len(t)
         if a < len(texts):
             yield batch.slice(a), texts[a:]
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def signed(x: np.ndarray) -> pa.Array:
