@@ -6,7 +6,6 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.llm import language_id
 
