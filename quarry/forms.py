@@ -12,7 +12,7 @@ from .operators.logs import LogEngine
 from .operators.profiles import SEP, ProfileEngine
 from .operators.prom import PromEngine
 from .operators.traces import TraceEngine
-from .queries import _BASE, _E, _JOIN, _L, _LB, _O, _P, _SAMPLES, _SP, _V, _C, CPU, DAY, END, ORACLE, QUERIES, START, W, _flat, _lines, _logql, _prom, _trace
+from .queries import _BASE, _E, _JOIN, _L, _O, _P, _SAMPLES, _SP, _V, _C, CPU, DAY, END, ORACLE, QUERIES, START, W, _flat, _lines, _logql, _prom, _trace
 from .sources import demo, formats, otlp, remote_write, safety, tables
 
 # metrics
@@ -112,6 +112,10 @@ for _key, _sql in (("count", "count(*)::double"), ("sum", "sum(l_extendedprice)"
 _logql("L10_without", 'sum_over_time({event_type="view"} | json | unwrap k [1d]) without (user)', ("event_type", "user"), f"""{_E} select n as event_type, '' as "user", t as step_ms, sum(k) as value from w where n = 'view' group by n, t""")
 _logql("L3_bytes_rate", 'sum by (event_type) (bytes_rate({event_type="view"}[1d])) * 1000', ("event_type",), f"{_E} select n as event_type, t as step_ms, round(sum(strlen(props)) / {DAY / 1000} * 1000, 7) as value from w where n = 'view' group by n, t")
 _logql("L11_offset", 'sum by (event_type) (count_over_time({event_type="view"}[1d] offset 1d))', ("event_type",), f"{_E}, o as (select n, t from e join grid on us > (t - 2 * {DAY}) * 1000 and us <= (t - {DAY}) * 1000) select n as event_type, t as step_ms, count(*)::double as value from o where n = 'view' group by n, t")
+QUERIES["L11_shifted_offset"] = lambda spark, d: _flat(LogEngine(demo.logs(spark, d), shifted_offsets=True).query_range('sum by (event_type) (count_over_time({event_type="view"}[1d] offset 1d))', START * 10**6, (END - DAY) * 10**6, DAY), ("event_type",))
+ORACLE["L11_shifted_offset"] = f"{_E}, o as (select n, t from e join grid on us > (t - 2 * {DAY}) * 1000 and us <= (t - {DAY}) * 1000) select n as event_type, t - {DAY} as step_ms, count(*)::double as value from o where n = 'view' group by n, t"
+QUERIES["M17_stream_costs"] = lambda spark, d: discovery.stream_costs(demo.access_logs(spark, d)).select(F.col("labels")["status"].alias("status"), "entries", "bytes")
+ORACLE["M17_stream_costs"] = f"{_O} select st as status, count(*) as entries, sum(strlen(line))::bigint as bytes from o group by st"
 _PER = f"{_E}, x as (select n, u, t, count(*)::double as c from w group by n, u, t)"
 for _fn, _sql in {"avg": "avg(c)", "min": "min(c)", "max": "max(c)", "count": "count(*)::double", "stddev": "stddev_pop(c)", "stdvar": "var_pop(c)"}.items():
     _logql(f"A13_{_fn}", f'{_fn} by (event_type) (count_over_time({{event_type=~".+"}}[1d]))', ("event_type",), f"{_PER} select n as event_type, t as step_ms, round({_sql}, 7) as value from x group by n, t")
@@ -267,7 +271,7 @@ for _fn, _sql in {"rate() by (name)": "count(*) / (step / 1000.0)", "min_over_ti
     _trace_metrics(f"A16_{_fn.split('(')[0]}", f"{{ }} | {_fn}", ("name",), f"select name, t as step_ms, round({_sql}, 7) as value from x group by name, t, step")
 for _key, _stage, _where in (("topk", "| topk(1)", "n = 1"), ("bottomk", "| bottomk(1)", "m = 1"), ("filter", "> 3", "v > 3"), ("filter_topk", "> 3 | topk(1)", "v > 3 and n = 1")):
     _trace_metrics(f"A18_{_key}", "{ } | count_over_time() by (name) " + _stage, ("name",), f"select name, t as step_ms, v as value from (select *, row_number() over (partition by t order by v desc, name) as n, row_number() over (partition by t order by v, name) as m from (select name, t, count(*)::double as v from x group by name, t)) where {_where}")
-_trace_metrics("A18_scalar", "{ } | count_over_time() by (name) * 2 + 1", ("name",), "select name, t as step_ms, count(*) * 2.0 + 1 as value from x group by name, t")
+_trace_metrics("A18_scalar", "{ } | count_over_time() by (name) * 2 + 1", ("name",), "select name, t as step_ms, (count(*) * 2.0 + 1)::double as value from x group by name, t")
 _trace_metrics("A18_cross", "({ status = error } | count_over_time() by (name)) / ({ } | count_over_time() by (name))", ("name",), "select name, t as step_ms, round(count(*) filter (st = 'error') / count(*), 7) as value from x group by name, t having count(*) filter (st = 'error') > 0")
 QUERIES["A17_compare"] = lambda spark, d: TraceEngine(demo.spans(spark, d)).compare("{ } | compare({ status = error }, 3)")
 ORACLE["A17_compare"] = f"""{_SP}, v as (select st, unnest([{{'a': 'span.chars', 'v': chars::varchar}}, {{'a': 'span.turn', 'v': k::varchar}}, {{'a': 'resource.service.name', 'v': role}}, {{'a': 'instrumentation.lib', 'v': 'chat'}}, {{'a': 'name', 'v': name}}, {{'a': 'kind', 'v': case role when 'user' then 'client' else 'server' end}}]) as x from p),

@@ -60,6 +60,11 @@ def volume_range(logs: DataFrame, query: str, start_ns: int, end_ns: int, step_m
     return LogEngine(logs).query_range(f"sum by ({', '.join(targets)}) (count_over_time({query}[{step_ms}ms]))", start_ns, end_ns, step_ms)
 
 
+def stream_costs(logs: DataFrame) -> DataFrame:
+    """Entries and bytes of lines of each stream."""
+    return logs.groupBy("labels").agg(F.count("*").alias("entries"), F.sum(F.octet_length("line")).cast("long").alias("bytes"))
+
+
 def metadata(df: DataFrame) -> DataFrame:
     """Type, unit and help of each metric name."""
     return df.groupBy("name").agg(F.last("type", True).alias("type"), F.last("unit", True).alias("unit"), F.last("description", True).alias("help"))

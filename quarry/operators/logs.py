@@ -69,10 +69,14 @@ def wildcard(pattern: str) -> str:
 
 
 class LogEngine:
-    """Queries over logs (ts_ns LONG, line STRING, labels MAP)."""
+    """Queries over logs (ts_ns LONG, line STRING, labels MAP).
 
-    def __init__(self, logs: DataFrame):
+    An offset leaves the times of results as they are; with shifted_offsets they move with it.
+    """
+
+    def __init__(self, logs: DataFrame, shifted_offsets: bool = False):
         self.spark: SparkSession = logs.sparkSession
+        self.shifted = shifted_offsets
         self.logs = logs.select("ts_ns", "line", "labels")
 
     # pipeline
@@ -286,7 +290,8 @@ class LogEngine:
         if isinstance(e, Q.Literal | Q.Vector):
             return self._constant(grid, e.value)
         if isinstance(e, Q.RangeAgg):
-            return self._range(e, grid)
+            out = self._range(e, grid)
+            return out.withColumn("step_ms", F.col("step_ms") - e.offset_ms) if self.shifted and e.offset_ms else out
         if isinstance(e, Q.Replace):
             target, to, source, pattern = e.args
             df, anchored = self._metric(e.expr, grid), L.whole(pattern)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +93,17 @@ def flamebearer(nodes: list[tuple[str, int, int, int]]) -> tuple[list[str], list
             at += child[3]
         todo += reversed(below)
     return names, levels
+
+
+def html(names: list[str], levels: list[list[int]], title: str = "profile") -> str:
+    """A flame graph as a page: a bar for each node of a flamebearer, as wide as its share of the total."""
+    total, bars = max(1, levels[0][1] if levels else 1), []
+    for depth, row in enumerate(levels):
+        x = 0
+        for k in range(0, len(row), 4):
+            x += row[k]
+            width, own, name = row[k + 1], row[k + 2], escape(names[row[k + 3]])
+            bars.append(f'<div style="left:{100 * x / total:.4f}%;width:{100 * width / total:.4f}%;top:{18 * depth}px" title="{name}: {width} ({own} own)">{name}</div>')
+            x += width
+    style = "div{position:absolute;height:17px;overflow:hidden;font:12px monospace;background:#f4b183;outline:1px solid #fff}"
+    return f"<!doctype html><title>{escape(title)}</title><style>{style}</style><body>{''.join(bars)}</body>"

@@ -30,6 +30,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df as written to the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
 

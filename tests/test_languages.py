@@ -82,8 +82,8 @@ def test_histogram_expansion(spark):
 
 def test_flamebearer():
     names, levels = flamebearer([("", 0, 0, 10), ("a", 1, 4, 7), ("b", 1, 3, 3), ("a\x1fc", 2, 3, 3)])
-    assert names == ["total", "a", "c", "b"] or set(names) == {"total", "a", "b", "c"}
-    assert levels[0] == [0, 10, 0, 0] and levels[1][:3] == [0, 7, 4]
+    assert names == ["total", "a", "c", "b"]
+    assert levels == [[0, 10, 0, 0], [0, 7, 4, 1, 0, 3, 3, 3], [4, 3, 3, 2]]
 
 
 @pytest.mark.parametrize("parse,bad", [(promql.parse, "sum("), (promql.parse, "rate(a[5m]"), (logql.parse, "topk(0, rate({a=\"b\"}[1m]))"), (logql.parse, "sum_over_time({a=\"b\"}[1m])"), (traceql.parse, "{ .a = "), (traceql.parse, "{ } | topk(2)"), (traceql.parse, "{ } | rate() | topk(0)"), (traceql.parse, "{ } | rate() > name"), (profileql.parse, "a:b{}")])

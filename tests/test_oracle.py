@@ -2,6 +2,7 @@
 
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -19,6 +20,14 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module")
+def found(spark, request):
+    """Results of all queries that are to be tested, some at a time."""
+    names = [i.callspec.params["name"] for i in request.session.items if i.fspath.basename == os.path.basename(__file__)]
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(lambda n=n: queries.QUERIES[n](spark, SF).toPandas()) for n in names}
+
+
 def _row(row: tuple) -> tuple:
     return tuple(None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in row)
 
@@ -29,8 +38,8 @@ def _same(a, b) -> bool:
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query(spark, con, name):
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
+def test_query(found, con, name):
+    got, want = found[name].result(), con.execute(queries.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     rows = [sorted((_row(r) for r in x[names].astype(object).values.tolist()), key=repr) for x in (got, want)]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions import labels as L
 from quarry.functions import numbers as N
 from quarry.functions import template
-from quarry.operators import prom, sliding
+from quarry.operators import cache, prom, sliding
 from quarry.operators.logs import LogEngine
+from quarry.operators.profiles import flamebearer, html
 from quarry.operators.prom import PromEngine
 from quarry.operators.traces import nested_sets
 from quarry.plans import traceql
@@ -132,3 +133,29 @@ def test_ill_typed(query):
 @pytest.mark.parametrize("query", ["{ .a < 5 && name != nil }", "{ duration > 1 }", "{ .a =~ `x` }", "{ parent = nil }", "{ kind = server || status != error }", "({ } | rate()) * 2 + ({ } | rate())"])
 def test_well_typed(query):
     traceql.parse(query)
+
+
+def test_range_cache(samples, tmp_path):
+    """What is kept is not asked again, gaps are filled on both sides, and new steps are never kept."""
+    engine = PromEngine(samples)
+    asked = []
+    inner = engine.query_range
+    engine.query_range = lambda q, a, b, s: asked.append((a, b)) or inner(q, a, b, s)
+    kept = cache.RangeCache(engine, str(tmp_path), lag_ms=60_000)
+    values = lambda df: sorted((r.labels["s"], r.step_ms, r.value) for r in df.where("not isnan(value)").collect())
+    want = lambda a, b: values(inner("avg_over_time(m[5m])", a, b, 60_000))
+    ask = lambda a, b, now=10**12: values(kept.query_range("avg_over_time(m[5m])", a, b, 60_000, now))
+    assert ask(600_000, 1_200_000, 1_140_000) == want(600_000, 1_200_000) and asked == [(600_000, 1_080_000), (1_140_000, 1_200_000)]
+    asked.clear()
+    assert ask(660_000, 900_000) == want(660_000, 900_000) and asked == []
+    assert ask(300_000, 1_500_000) == want(300_000, 1_500_000) and asked == [(300_000, 540_000), (1_140_000, 1_500_000)]
+    asked.clear()
+    assert ask(2_400_000, 2_520_000) == want(2_400_000, 2_520_000) and asked == [(2_400_000, 2_520_000)]
+    assert ask(0, 60_000, 0) == want(0, 60_000)
+
+
+def test_flame_page():
+    names, levels = flamebearer([("", 0, 0, 10), ("a<b", 1, 4, 7), ("b", 1, 3, 3), ("a<b\x1fc", 2, 3, 3)])
+    page = html(names, levels)
+    assert page.count("<div ") == 4 and 'left:70.0000%;width:30.0000%;top:18px" title="b: 3 (3 own)"' in page and "a&lt;b" in page
+    assert html(["total"], []).count("<div ") == 0
