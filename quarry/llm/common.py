@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,27 +26,17 @@ from ..session import ship
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Ids that are sent to every executor at most (8 bytes each); beyond it a shuffled join does the work.
 BROADCAST_IDS = 2_000_000
-#: Bytes of an Arrow batch at most, if it has more than one row.
-BATCH = 4 << 20
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """No Arrow batch of this session is larger than ``BATCH`` bytes or one row, so Python workers hold little at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if (now := int(spark.conf.get(key).rstrip("bB"))) > BATCH or now <= 0:
-        spark.conf.set(key, str(BATCH))
-
-
 class Workspace:
     """Tables of one run in the folder all executors share."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         ship(spark)
-        bound_batches(spark)
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
             if not spark.sparkContext.master.split("[")[0] == "local":
@@ -177,15 +168,13 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
     At the end the worker's free memory goes back to the system: it stands idle beside others until its next task.
     """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-        a, size = 0, 0
-        for k, t in enumerate(texts):
-            if k > a and size + len(t) > most:
-                yield batch.slice(a, k - a), texts[a:k]
-                a, size = k, 0
-            size += len(t)
-        if a < len(texts):
-            yield batch.slice(a), texts[a:]
+        texts = batch.column(column).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right")))
+            yield batch.slice(a, b - a), [t or b"" for t in texts.slice(a, b - a).to_pylist()]
+            a = b
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)

@@ -37,7 +37,7 @@ GROUP = 16_384
 HOT = 50_000
 #: Rows of counts that are sent to every executor at most, of 33 bytes each.
 SENT = 500_000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
