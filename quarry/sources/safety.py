@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import numbers as N
 
-PASS = "oteldb.passthrough"
+#: The label by which a record passes through, unless another is named.
+PASS = "passthrough"
 MODES = ("consume", "drop", "sample", "compact", "truncate")
 
 
@@ -27,6 +28,7 @@ class Limits:
     sample_thereafter: int = 100
     window_ns: int = 30 * 10**9
     compact_threshold: int = 100
+    passthrough: str = PASS
 
 
 def guard(logs: DataFrame, limits: Limits) -> DataFrame:
@@ -37,7 +39,7 @@ def guard(logs: DataFrame, limits: Limits) -> DataFrame:
     """
     if {limits.on_excess, limits.on_hard_excess} - set(MODES):
         raise ValueError(f"modes are {', '.join(MODES)}")
-    free = F.coalesce(F.lower(F.col("labels")[PASS]) == "true", F.lit(False))
+    free = F.coalesce(F.lower(F.col("labels")[limits.passthrough]) == "true", F.lit(False))
     rows = logs.where(~free).withColumns({"period": N.floor_div(F.col("ts_ns"), limits.period_ns), "window": N.floor_div(F.col("ts_ns"), limits.window_ns)})
     order = ("ts_ns", "line", L.key(F.col("labels")))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("period").orderBy(*order)))

@@ -87,7 +87,7 @@ def test_container_logs(spark, tmp_path):
 
 
 def test_guard(spark):
-    rows = [(k // 4 * 10**9 + k, f"m{k % 2}", {"n": str(k)} | ({"oteldb.passthrough": "true"} if k == 3 else {})) for k in range(12)]
+    rows = [(k // 4 * 10**9 + k, f"m{k % 2}", {"n": str(k)} | ({"passthrough": "true"} if k == 3 else {})) for k in range(12)]
     logs = spark.createDataFrame(rows, "ts_ns long, line string, labels map<string,string>")
     run = lambda **x: sorted((r.ts_ns % 10**9, r.line) for r in safety.guard(logs, safety.Limits(**x)).collect())
     assert len(run()) == 12 and [t for t, _ in run(soft=1, on_excess="drop")] == [0, 3, 4, 8]
