@@ -18,6 +18,7 @@ from .grid import Grid
 
 ERROR, DETAILS = "__error__", "__error_details__"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 ANSI = r"\x1B\[[0-9;?]*[ -/]*[@-~]"
 
 
@@ -39,28 +40,42 @@ def ip_matches(ip: Column, spec: str) -> Column:
     return _ip_number(ip).between(low, high)
 
 
-def _ip6(spec: str):
-    """IPv6 has no native expression; Arrow batches."""
-    import pandas as pd
+def _let(x: Column, f) -> Column:
+    """f of x, with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    def run(s):
-        if "-" in spec:
-            low, high = (int(ipaddress.IPv6Address(x.strip())) for x in spec.split("-"))
-        else:
-            net = ipaddress.IPv6Network(spec, strict=False)
-            low, high = int(net.network_address), int(net.broadcast_address)
 
-        def one(x: str | None) -> bool | None:
-            try:
-                ip = ipaddress.ip_address(x)
-            except ValueError:
-                return None
-            return ip.version == 6 and low <= int(ip) <= high
+def _ip6_hex(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, its zone left aside; null if it isn't one."""
+    octets = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+    word = lambda x, k: F.lower(F.hex(F.regexp_extract(x, octets, k).try_cast("long") * 256 + F.regexp_extract(x, octets, k + 1).try_cast("long")))
+    ip = _let(F.regexp_replace(ip, "%[^%]+$", ""), lambda x: F.when(x.rlike(octets), F.concat(F.regexp_extract(x, octets, 1), word(x, 2), F.lit(":"), word(x, 4))).otherwise(F.lower(x)))
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
+    wide = lambda x: F.array_join(F.transform(x, lambda g: F.lpad(g, 4, "0")), "")
+
+    def joined(sides: Column) -> Column:
+        left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+        n, parts = F.size(left) + F.size(right), F.size(sides)
+        good = ((parts == 1) & (n == 8) | (parts == 2) & (n < 8)) & F.forall(F.flatten(sides), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.concat(wide(left), F.repeat(F.lit("0000"), 8 - n), wide(right)))
+
+    return _let(F.transform(F.split(ip, "::", -1), groups), joined)
 
-        return s.map(one)
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # this module's annotations are strings
-    return F.pandas_udf(run, "boolean")
+def _ip6(spec: str):
+    if "-" in spec:
+        low, high = (int(ipaddress.IPv6Address(x.strip())) for x in spec.split("-"))
+    else:
+        net = ipaddress.IPv6Network(spec, strict=False)
+        low, high = int(net.network_address), int(net.broadcast_address)
+    four = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+    return lambda ip: F.when(ip.rlike(four), F.lit(False)).otherwise(_let(_ip6_hex(ip), lambda x: x.between(f"{low:032x}", f"{high:032x}")))
+
+
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, each computed once for a row: what is generated isn't copied into the filters and columns that use it."""
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(c for c in df.columns if c not in columns), made)
 
 
 def wildcard(pattern: str) -> str:
@@ -118,38 +133,41 @@ class LogEngine:
         return df.where(hit if op[0] == "|" else ~hit)
 
     def _filter(self, df: DataFrame, tree) -> DataFrame:
-        cond, errors = self._test(tree)
-        df = df.where(cond)
-        for bad, what in errors:
-            first = bad & ~F.map_contains_key("labels", ERROR)
-            df = df.withColumn("labels", F.when(first, L.put(F.col("labels"), ERROR, F.lit(what))).otherwise(F.col("labels")))
-        return df
+        """Lines for which it holds or can't be told; the latter get an error."""
+        read: dict[str, Column] = {}
+        cond, bad = self._test(tree, read)
+        if not read:
+            return df.where(cond)
+        labels = F.col("labels")
+        first = reduce(lambda a, b: a | b, bad) & ~F.map_contains_key(labels, ERROR)
+        df = _once(df, read).where(cond)
+        return _once(df, {"labels": F.when(first, L.put(labels, ERROR, F.lit("LabelFilterError"))).otherwise(labels)}).drop(*read)
 
-    def _test(self, t) -> tuple[Column, list]:
+    def _test(self, t, read: dict[str, Column]) -> tuple[Column, list]:
+        """The condition, and which labels couldn't be read, over the columns that go into read."""
         if isinstance(t, Q.Both):
-            (a, x), (b, y) = self._test(t.left), self._test(t.right)
+            (a, x), (b, y) = self._test(t.left, read), self._test(t.right, read)
             return (a & b if t.op == "and" else a | b), x + y
         labels = F.col("labels")
         value, there = L.get(labels, t.label), F.map_contains_key(labels, t.label)
         if t.kind == "string":
             return L.match(value, "=" if t.op == "==" else t.op, t.value), []
+        name = f"_n{len(read)}"
+        made = F.col(name)
         if t.kind == "ip":
-            made = ip_matches(value, t.value)
+            read[name] = ip_matches(value, t.value)
             good = made if t.op in ("=", "==") else ~made
-            what = "LabelFilterError"
-            bad = there & made.isNull()
-            return there & F.coalesce(good, F.lit(True)), [(bad, what)]
-        number = {"number": value.try_cast("double"), "duration": N.duration_column(value), "bytes": N.bytes_column(value)}[t.kind]
-        good = N.compare("==" if t.op == "=" else t.op, number, F.lit(float(t.value)))
-        return there & F.coalesce(good, F.lit(True)), [(there & number.isNull(), "LabelFilterError")]
-
-    def _add(self, df: DataFrame, found: Column, what: str | None = None) -> DataFrame:
-        """Labels overwritten by a map; null is an error that keeps the line."""
-        df = df.withColumn("_f", found)
+        else:
+            read[name] = {"number": lambda: value.try_cast("double"), "duration": lambda: N.duration_column(value), "bytes": lambda: N.bytes_column(value)}[t.kind]()
+            good = N.compare("==" if t.op == "=" else t.op, made, F.lit(float(t.value)))
+        return there & F.coalesce(good, F.lit(True)), [there & made.isNull()]
+
+    def _add(self, df: DataFrame, found: Column, what: str | None = None, nulls: bool = True) -> DataFrame:
+        """Labels overwritten by a map, which may have null values for labels to leave out; null is an error that keeps the line."""
+        df = _once(df, {"_f": F.map_filter(found, lambda k, v: v.isNotNull()) if nulls else found})
         labels = F.col("labels")
-        good = L.merge(labels, F.map_filter(F.col("_f"), lambda k, v: v.isNotNull()))
         failed = F.when(F.map_contains_key(labels, ERROR), labels).otherwise(L.put(labels, ERROR, F.lit(what))) if what else labels
-        return df.withColumn("labels", F.when(F.col("_f").isNull(), failed).otherwise(good)).drop("_f")
+        return _once(df, {"labels": F.when(F.col("_f").isNull(), failed).otherwise(L.merge(labels, F.col("_f")))}).drop("_f")
 
     def _json(self, df: DataFrame, extracts: tuple) -> DataFrame:
         whole = F.from_json("line", "map<string,string>", {"mode": "PERMISSIVE"})
@@ -161,17 +179,18 @@ class LogEngine:
     def _logfmt(self, df: DataFrame, extracts: tuple) -> DataFrame:
         """The last of equal keys counts; a key that stands alone has the empty value."""
         pair = r'([^\s="]+)(?:=("(?:[^"\\]|\\.)*"|[^\s"]*))?'
-        df = df.withColumns({"_k": F.regexp_extract_all("line", F.lit(pair), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(pair), F.lit(2))})
+        df = _once(df, {"_k": F.regexp_extract_all("line", F.lit(pair), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(pair), F.lit(2))})
         plain = lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r'\\(["\\])', "$1")).otherwise(v)
         at = lambda key: F.size("_k") - F.array_position(F.reverse("_k"), key).cast("int")
-        value = lambda key: F.when(F.array_contains("_k", key), plain(F.get("_v", at(key))))
+        value = lambda key: F.when(F.array_contains("_k", key), _let(F.get("_v", at(key)), plain))
         if extracts:
             found = F.create_map(*(x for label, key in extracts for x in (F.lit(label), value(key))))
         else:
-            keys = F.array_distinct("_k")
-            found = F.map_from_arrays(keys, F.transform(keys, value))
+            keys, quoted = F.array_distinct("_k"), F.col("line").contains('"')
+            once = F.map_from_arrays("_k", F.when(quoted, F.transform("_v", plain)).otherwise(F.col("_v")))
+            found = F.when(F.size(keys) == F.size("_k"), once).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))
         odd = (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2 == 1
-        return self._add(df, F.when(~odd, found), "LogfmtParserErr").drop("_k", "_v")
+        return self._add(df, F.when(~odd, found), "LogfmtParserErr", bool(extracts)).drop("_k", "_v")
 
     def _regexp(self, df: DataFrame, pattern: str) -> DataFrame:
         names = [(n, re.compile(pattern).groupindex[n]) for n in re.compile(pattern).groupindex]
@@ -192,7 +211,7 @@ class LogEngine:
         return self._add(df, F.create_map(*made)) if made else df
 
     def _unpack(self, df: DataFrame) -> DataFrame:
-        df = df.withColumn("_j", F.from_json("line", "map<string,string>"))
+        df = _once(df, {"_j": F.from_json("line", "map<string,string>")})
         entry = F.col("_j")["_entry"]
         df = self._add(df, F.map_filter("_j", lambda k, v: k != "_entry"), "JSONParserErr")
         return df.withColumn("line", F.coalesce(entry, F.col("line"))).drop("_j")
@@ -202,9 +221,9 @@ class LogEngine:
 
     def _line_format(self, df: DataFrame, text: str) -> DataFrame:
         """Where the template fails the line stays, with an error."""
-        df = df.withColumn("_t", template.compile(text, F.col("labels"), F.col("line"), F.col("ts_ns")))
+        df = _once(df, {"_t": template.compile(text, F.col("labels"), F.col("line"), F.col("ts_ns"))})
         labels, bad = F.col("labels"), F.col("_t").isNull() & ~F.map_contains_key("labels", ERROR)
-        return df.withColumns({"line": F.coalesce("_t", "line"), "labels": F.when(bad, L.put(labels, ERROR, F.lit("TemplateFormatErr"))).otherwise(labels)}).drop("_t")
+        return _once(df, {"line": F.coalesce("_t", "line"), "labels": F.when(bad, L.put(labels, ERROR, F.lit("TemplateFormatErr"))).otherwise(labels)}).drop("_t")
 
     def _label_format(self, df: DataFrame, items: tuple) -> DataFrame:
         before = F.col("_before")
@@ -213,16 +232,17 @@ class LogEngine:
             labels = F.col("labels")
             if kind == "rename":
                 made = L.drop(L.put(labels, target, L.get(labels, text)), [text] if text != target else [])
-                df = df.withColumn("labels", F.when(F.map_contains_key(labels, text), made).otherwise(labels))
+                df = _once(df, {"labels": F.when(F.map_contains_key(labels, text), made).otherwise(labels)})
             else:
-                df = df.withColumn("labels", L.put(labels, target, template.compile(text, before, F.col("line"), F.col("ts_ns"))))
+                df = _once(df, {"_t": template.compile(text, before, F.col("line"), F.col("ts_ns"))})
+                df = _once(df, {"labels": L.put(labels, target, F.col("_t"))}).drop("_t")
         return df.drop("_before")
 
     def _drop(self, df: DataFrame, items: tuple) -> DataFrame:
-        return df.withColumn("labels", F.map_filter("labels", lambda k, v: ~_chosen(k, v, items)))
+        return _once(df, {"labels": F.map_filter("labels", lambda k, v: ~_chosen(k, v, items))})
 
     def _keep(self, df: DataFrame, items: tuple) -> DataFrame:
-        return df.withColumn("labels", F.map_filter("labels", lambda k, v: _chosen(k, v, items)))
+        return _once(df, {"labels": F.map_filter("labels", lambda k, v: _chosen(k, v, items))})
 
     def _distinct(self, df: DataFrame, items: tuple) -> DataFrame:
         """The first line of each value of each label, in the order of (ts_ns, line).
@@ -242,9 +262,9 @@ class LogEngine:
     def _unwrap(self, df: DataFrame, label: str, unit: str | None) -> DataFrame:
         text = F.col("labels")[label]
         made = {None: text.try_cast("double"), "bytes": N.bytes_column(text), "duration": N.duration_column(text), "duration_seconds": N.duration_column(text)}[unit]
-        df = df.where(F.map_contains_key("labels", label))
-        bad = made.isNull() & ~F.map_contains_key("labels", ERROR)
-        return df.withColumns({"value": F.coalesce(made, F.lit(0.0)), "labels": F.when(bad, L.put(F.col("labels"), ERROR, F.lit("SampleExtractionErr"))).otherwise(F.col("labels"))}).withColumn("unwrapped", F.lit(label))
+        df = _once(df.where(F.map_contains_key("labels", label)), {"_u": made})
+        labels, bad = F.col("labels"), F.col("_u").isNull() & ~F.map_contains_key("labels", ERROR)
+        return _once(df, {"value": F.coalesce("_u", F.lit(0.0)), "labels": F.when(bad, L.put(labels, ERROR, F.lit("SampleExtractionErr"))).otherwise(labels)}).drop("_u").withColumn("unwrapped", F.lit(label))
 
     # queries
 
