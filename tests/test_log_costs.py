@@ -26,3 +26,7 @@ def test_last_of_equal_keys_counts(spark):
     got = {r.ts_ns: r.labels for r in LogEngine(logs).query_range('{j="1"} | logfmt', 0, 10).collect()}
     assert got[1] == {"j": "1", "a": "1", "b": 'x "y"', "c": ""} and got[2] == {"j": "1", "a": "", "b": "3"}
     assert got[3] == {"j": "1", "a": "0", "__error__": "LogfmtParserErr"}
+
+
+def test_bytes_filter_parses_once(spark):
+    assert _parses(queries.QUERIES["F12_bytes"](spark, SF)) == 2
