@@ -30,3 +30,8 @@ def test_last_of_equal_keys_counts(spark):
 
 def test_bytes_filter_parses_once(spark):
     assert _parses(queries.QUERIES["F12_bytes"](spark, SF)) == 2
+
+
+def test_distinct_parses_once_a_pass(spark):
+    """Lines with the label and lines without it are a pass each."""
+    assert _parses(queries.QUERIES["F15_distinct"](spark, SF)) == 4
