@@ -35,3 +35,7 @@ def test_bytes_filter_parses_once(spark):
 def test_distinct_parses_once_a_pass(spark):
     """Lines with the label and lines without it are a pass each."""
     assert _parses(queries.QUERIES["F15_distinct"](spark, SF)) == 4
+
+
+def test_distinct_missing_parses_once_a_pass(spark):
+    assert _parses(queries.QUERIES["F15_distinct_missing"](spark, SF)) == 6
