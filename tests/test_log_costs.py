@@ -39,3 +39,7 @@ def test_distinct_parses_once_a_pass(spark):
 
 def test_distinct_missing_parses_once_a_pass(spark):
     assert _parses(queries.QUERIES["F15_distinct_missing"](spark, SF)) == 6
+
+
+def test_distinct_two_parses_once_a_pass(spark):
+    assert _parses(queries.QUERIES["F15_distinct_two"](spark, SF)) == 6
