@@ -43,3 +43,7 @@ def test_distinct_missing_parses_once_a_pass(spark):
 
 def test_distinct_two_parses_once_a_pass(spark):
     assert _parses(queries.QUERIES["F15_distinct_two"](spark, SF)) == 6
+
+
+def test_unwrap_bytes_parses_once(spark):
+    assert _parses(queries.QUERIES["F29_unwrap_bytes"](spark, SF)) == 2
