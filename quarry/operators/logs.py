@@ -47,16 +47,16 @@ def _let(x: Column, f) -> Column:
 
 def _ip6_hex(ip: Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 address, its zone left aside; null if it isn't one."""
-    octets = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+    octets = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}\z"
     word = lambda x, k: F.lower(F.hex(F.regexp_extract(x, octets, k).try_cast("long") * 256 + F.regexp_extract(x, octets, k + 1).try_cast("long")))
-    ip = _let(F.regexp_replace(ip, "%[^%]+$", ""), lambda x: F.when(x.rlike(octets), F.concat(F.regexp_extract(x, octets, 1), word(x, 2), F.lit(":"), word(x, 4))).otherwise(F.lower(x)))
+    ip = _let(F.regexp_replace(ip, r"%[^%]+\z", ""), lambda x: F.when(x.rlike(octets), F.concat(F.regexp_extract(x, octets, 1), word(x, 2), F.lit(":"), word(x, 4))).otherwise(F.lower(x)))
     groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
     wide = lambda x: F.array_join(F.transform(x, lambda g: F.lpad(g, 4, "0")), "")
 
     def joined(sides: Column) -> Column:
         left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
         n, parts = F.size(left) + F.size(right), F.size(sides)
-        good = ((parts == 1) & (n == 8) | (parts == 2) & (n < 8)) & F.forall(F.flatten(sides), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        good = ((parts == 1) & (n == 8) | (parts == 2) & (n < 8)) & F.forall(F.flatten(sides), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
         return F.when(good, F.concat(wide(left), F.repeat(F.lit("0000"), 8 - n), wide(right)))
 
     return _let(F.transform(F.split(ip, "::", -1), groups), joined)
@@ -68,7 +68,7 @@ def _ip6(spec: str):
     else:
         net = ipaddress.IPv6Network(spec, strict=False)
         low, high = int(net.network_address), int(net.broadcast_address)
-    four = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+    four = rf"^{OCTET}(?:\.{OCTET}){{3}}\z"
     return lambda ip: F.when(ip.rlike(four), F.lit(False)).otherwise(_let(_ip6_hex(ip), lambda x: x.between(f"{low:032x}", f"{high:032x}")))
 
 

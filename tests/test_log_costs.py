@@ -47,3 +47,28 @@ def test_distinct_two_parses_once_a_pass(spark):
 
 def test_unwrap_bytes_parses_once(spark):
     assert _parses(queries.QUERIES["F29_unwrap_bytes"](spark, SF)) == 2
+
+
+def test_ip6_parses_once(spark):
+    assert _parses(queries.QUERIES["F7_ip6"](spark, SF)) == 2
+
+
+@pytest.mark.parametrize("spec", ["2001:db8::/120", "::1", "2001:db8::1-2001:db8::ff", "::ffff:0:0/96", "::/0"])
+def test_ip6_is_as_the_standard_library_reads_it(spark, spec):
+    texts = ["2001:db8::1", "2001:DB8:0:0:0:0:0:ff", "2001:db8::100", "2001:db8::10000", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "1:2:3:4:5:6:7", "1::2::3", ":::", "1:::2", ":1", "1:", "::ffff:10.0.0.1", "::ffff:10.0.0.256", "1:2:3:4:5:6:10.0.0.1", "10.0.0.1", "10.0.0.01", "fe80::1%eth0", "fe80::1%", "g::1", "", "::1\n", "x"]
+    low, high = [int(ipaddress.ip_address(x)) for x in spec.split("-")] if "-" in spec else [int(x) for x in (ipaddress.ip_network(spec)[0], ipaddress.ip_network(spec)[-1])]
+
+    def want(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return ip.version == 6 and low <= int(ip) <= high
+
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", ip_matches(F.col("x"), spec).alias("hit")).collect()
+    assert {r.x: r.hit for r in rows} == {x: want(x) for x in texts}
+
+
+def test_ip6_in_a_line(spark):
+    logs = spark.createDataFrame([(1, "from 2001:db8::7 ok", {"j": "1"}), (2, "from 2001:db9::7 ok", {"j": "1"})], "ts_ns long, line string, labels map<string,string>")
+    assert [r.ts_ns for r in LogEngine(logs).query_range('{j="1"} |= ip("2001:db8::/32")', 0, 10).collect()] == [1]
