@@ -72,3 +72,7 @@ def test_ip6_is_as_the_standard_library_reads_it(spark, spec):
 def test_ip6_in_a_line(spark):
     logs = spark.createDataFrame([(1, "from 2001:db8::7 ok", {"j": "1"}), (2, "from 2001:db9::7 ok", {"j": "1"})], "ts_ns long, line string, labels map<string,string>")
     assert [r.ts_ns for r in LogEngine(logs).query_range('{j="1"} |= ip("2001:db8::/32")', 0, 10).collect()] == [1]
+
+
+def test_error_lines_parses_once(spark):
+    assert _parses(queries.QUERIES["L_error_lines"](spark, SF)) == 2
