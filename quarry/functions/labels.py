@@ -11,6 +11,10 @@ NAME = "__name__"
 EMPTY = "map<string,string>"
 
 
+class Wide(dict):
+    """Some labels of a row as a column each, null where it has no such label; others are not kept."""
+
+
 def empty() -> Column:
     return F.create_map().cast(EMPTY)
 
@@ -25,7 +29,25 @@ def of_key(k: Column) -> Column:
     return F.map_from_entries(F.from_json(k, "array<struct<key:string,value:string>>"))
 
 
-def get(labels: Column, name: str) -> Column:
+def has(labels: Column | Wide, name: str) -> Column:
+    return labels[name].isNotNull() if isinstance(labels, Wide) else F.map_contains_key(labels, name)
+
+
+def choose(test: Column, a: Column | Wide, b: Column | Wide) -> Column | Wide:
+    return Wide({n: b[n] if a[n] is b[n] else F.when(test, a[n]).otherwise(b[n]) for n in b}) if isinstance(b, Wide) else F.when(test, a).otherwise(b)
+
+
+def those(labels: Column | Wide, test) -> Column | Wide:
+    """The labels for whose name and value it holds."""
+    return Wide({n: F.when(test(F.lit(n), v), v) for n, v in labels.items()}) if isinstance(labels, Wide) else F.map_filter(labels, test)
+
+
+def whole_map(labels: Wide) -> Column:
+    made = F.create_map(*(x for n, v in labels.items() for x in (F.lit(n), v))) if labels else empty()
+    return F.map_filter(made, lambda k, v: v.isNotNull())
+
+
+def get(labels: Column | Wide, name: str) -> Column:
     """A missing label is the empty string."""
     return F.coalesce(labels[name], F.lit(""))
 
@@ -34,12 +56,16 @@ def keep(labels: Column, names: list[str]) -> Column:
     return F.map_filter(labels, lambda k, v: k.isin(names)) if names else empty()
 
 
-def drop(labels: Column, names: list[str]) -> Column:
+def drop(labels: Column | Wide, names: list[str]) -> Column | Wide:
+    if isinstance(labels, Wide):
+        return Wide({n: F.lit(None).cast("string") if n in names else v for n, v in labels.items()})
     return F.map_filter(labels, lambda k, v: ~k.isin(names)) if names else labels
 
 
-def put(labels: Column, name: str, value: Column) -> Column:
+def put(labels: Column | Wide, name: str, value: Column) -> Column | Wide:
     """labels with name set; the empty string deletes it."""
+    if isinstance(labels, Wide):
+        return Wide({n: F.nullif(value, F.lit("")) if n == name else v for n, v in labels.items()})
     rest = drop(labels, [name])
     return F.when(F.coalesce(value, F.lit("")) == "", rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
 

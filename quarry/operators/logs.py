@@ -19,6 +19,10 @@ from .grid import Grid
 ERROR, DETAILS = "__error__", "__error_details__"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: A key of logfmt and its value. Nothing is tried twice, so long quoted values need no deep stack.
+PAIR = r'([^\s="]++)(?:=("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"]*+))?'
+#: Stages that can do with some labels as columns.
+NARROW = {"line", "filter", "logfmt", "label_format", "drop", "keep", "distinct", "unwrap"}
 ANSI = r"\x1B\[[0-9;?]*[ -/]*[@-~]"
 
 
@@ -75,7 +79,52 @@ def _ip6(spec: str):
 def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with columns, each computed once for a row: what is generated isn't copied into the filters and columns that use it."""
     made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
-    return df.select(*(c for c in df.columns if c not in columns), made)
+    return df.select(*(f"`{c}`" for c in df.columns if c not in columns), made)
+
+
+def _mentioned(stages: tuple) -> set[str] | None:
+    """All labels that stages name; null if a stage may use others, or isn't made for labels as columns."""
+    out: set[str] = set()
+
+    def tests(t) -> None:
+        for x in (t.left, t.right) if isinstance(t, Q.Both) else ():
+            tests(x)
+        if not isinstance(t, Q.Both):
+            out.add(t.label)
+
+    for name, *args in stages:
+        if name not in NARROW:
+            return None
+        if name == "filter":
+            tests(args[0])
+        elif name in ("drop", "keep", "distinct"):
+            out.update(x[0] for x in args[0])
+        elif name == "unwrap":
+            out.add(args[0])
+        elif name == "logfmt":
+            out.update(label for label, _ in args[0])
+        elif name == "label_format":
+            for target, kind, text in args[0]:
+                if kind == "template" and ("$" in text or re.search(r"\.(?![A-Za-z_])", text)):
+                    return None
+                out |= {target, *(re.findall(r"\.([A-Za-z_][\w.]*)", text) if kind == "template" else [text])}
+    return out
+
+
+def _labels(df: DataFrame) -> Column | L.Wide:
+    """The map, or the columns that stand for it."""
+    return F.col("labels") if "labels" in df.columns else L.Wide({c[1:]: F.col(f"`{c}`") for c in df.columns if c[0] == "@"})
+
+
+def _with(df: DataFrame, labels: Column | L.Wide) -> DataFrame:
+    return df.withColumns({f"@{n}": v for n, v in labels.items()}) if isinstance(labels, L.Wide) else _once(df, {"labels": labels})
+
+
+def _failed(labels: Column | L.Wide, bad: Column, what: str) -> Column | L.Wide:
+    """The first error of a row is noted, if it is asked for."""
+    if isinstance(labels, L.Wide) and ERROR not in labels:
+        return labels
+    return L.choose(bad & ~L.has(labels, ERROR), L.put(labels, ERROR, F.lit(what)), labels)
 
 
 def wildcard(pattern: str) -> str:
@@ -96,12 +145,15 @@ class LogEngine:
 
     # pipeline
 
-    def pipeline(self, q: Q.Logs, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-        df = self.logs
+    def pipeline(self, q: Q.Logs, start_ns: int | None = None, end_ns: int | None = None, only: tuple | None = None) -> DataFrame:
+        """With only, labels that are neither in it nor in a stage needn't be made: the rest may be columns @name instead of the map."""
+        df, named = self.logs, None if only is None else _mentioned(q.stages)
         if start_ns is not None:
             df = df.where((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") <= end_ns))
         for name, op, text in q.matchers:
             df = df.where(self._stream(name, op, text))
+        if named is not None:
+            df = df.select("ts_ns", "line", *(F.col("labels")[n].alias(f"@{n}") for n in sorted(named | set(only))))
         for stage in q.stages:
             df = getattr(self, f"_{stage[0]}")(df, *stage[1:])
         return df
@@ -135,21 +187,19 @@ class LogEngine:
     def _filter(self, df: DataFrame, tree) -> DataFrame:
         """Lines for which it holds or can't be told; the latter get an error."""
         read: dict[str, Column] = {}
-        cond, bad = self._test(tree, read)
+        labels = _labels(df)
+        cond, bad = self._test(tree, read, labels)
         if not read:
             return df.where(cond)
-        labels = F.col("labels")
-        first = reduce(lambda a, b: a | b, bad) & ~F.map_contains_key(labels, ERROR)
         df = _once(df, read).where(cond)
-        return _once(df, {"labels": F.when(first, L.put(labels, ERROR, F.lit("LabelFilterError"))).otherwise(labels)}).drop(*read)
+        return _with(df, _failed(labels, reduce(lambda a, b: a | b, bad), "LabelFilterError")).drop(*read)
 
-    def _test(self, t, read: dict[str, Column]) -> tuple[Column, list]:
+    def _test(self, t, read: dict[str, Column], labels: Column | L.Wide) -> tuple[Column, list]:
         """The condition, and which labels couldn't be read, over the columns that go into read."""
         if isinstance(t, Q.Both):
-            (a, x), (b, y) = self._test(t.left, read), self._test(t.right, read)
+            (a, x), (b, y) = self._test(t.left, read, labels), self._test(t.right, read, labels)
             return (a & b if t.op == "and" else a | b), x + y
-        labels = F.col("labels")
-        value, there = L.get(labels, t.label), F.map_contains_key(labels, t.label)
+        value, there = L.get(labels, t.label), L.has(labels, t.label)
         if t.kind == "string":
             return L.match(value, "=" if t.op == "==" else t.op, t.value), []
         name = f"_n{len(read)}"
@@ -178,8 +228,12 @@ class LogEngine:
 
     def _logfmt(self, df: DataFrame, extracts: tuple) -> DataFrame:
         """The last of equal keys counts; a key that stands alone has the empty value."""
-        pair = r'([^\s="]+)(?:=("(?:[^"\\]|\\.)*"|[^\s"]*))?'
-        df = _once(df, {"_k": F.regexp_extract_all("line", F.lit(pair), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(pair), F.lit(2))})
+        labels, line = _labels(df), F.col("line")
+        odd = (F.length("line") - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+        pairs = {"_k": F.regexp_extract_all("line", F.lit(PAIR), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(PAIR), F.lit(2))}
+        if isinstance(labels, L.Wide):
+            return self._logfmt_wide(df, labels, dict(extracts) if extracts else {n: n for n in labels}, pairs, odd)
+        df = _once(df, pairs)
         plain = lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r'\\(["\\])', "$1")).otherwise(v)
         at = lambda key: F.size("_k") - F.array_position(F.reverse("_k"), key).cast("int")
         value = lambda key: F.when(F.array_contains("_k", key), _let(F.get("_v", at(key)), plain))
@@ -189,9 +243,37 @@ class LogEngine:
             keys, quoted = F.array_distinct("_k"), F.col("line").contains('"')
             once = F.map_from_arrays("_k", F.when(quoted, F.transform("_v", plain)).otherwise(F.col("_v")))
             found = F.when(F.size(keys) == F.size("_k"), once).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))
-        odd = (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2 == 1
         return self._add(df, F.when(~odd, found), "LogfmtParserErr", bool(extracts)).drop("_k", "_v")
 
+    def _logfmt_wide(self, df: DataFrame, labels: L.Wide, keys: dict[str, str], pairs: dict[str, Column], odd: Column) -> DataFrame:
+        """Only the keys that are asked for are taken: each by a regex that runs over all pairs once and holds its last one.
+
+        Lines with a backslash, whose quoted values may have escapes, have all their pairs listed first.
+        """
+        line, value = F.col("line"), r'(?:=(?:"[^"]*+"|[^\s"]*+))?'
+
+        def held(key: str) -> Column:
+            if not re.fullmatch(r'[^ \t\n\x0b\f\r="]+', key):
+                return F.lit("")
+            own = rf'({re.escape(key)}(?![^\s="]){value})'
+            return F.when(line.contains(key), F.regexp_extract("line", rf'\A(?:[\s="]++|{own}|[^\s="]++{value})*+', 1)).otherwise("")
+
+        def listed(p: Column) -> Column:
+            at = lambda key: F.size(p["_k"]) - F.array_position(F.reverse(p["_k"]), key).cast("int")
+            return made(lambda key: F.when(F.array_contains(p["_k"], key), F.concat(F.lit(key + "="), F.get(p["_v"], at(key)))).otherwise(""))
+
+        made = lambda token: F.struct(*(token(key).alias(f"_r{i}") for i, key in enumerate(keys.values())), F.coalesce(odd, F.lit(True)).alias("_odd"))
+        escaped = F.transform(F.array(F.struct(*(c.alias(n) for n, c in pairs.items()))), listed)
+        df = df.select("*", F.inline(F.when(line.contains("\\"), escaped).otherwise(F.array(made(held)))))
+        out = L.Wide(labels)
+        for i, (label, key) in enumerate(keys.items()):
+            token = F.col(f"_r{i}")
+            raw = token.substr(F.lit(len(key) + 2), F.length(token))
+            quoted = token.substr(F.lit(len(key) + 3), F.length(token) - (len(key) + 3))
+            plain = F.when(raw.startswith('"'), F.when(quoted.contains("\\"), F.regexp_replace(quoted, r'\\(["\\])', "$1")).otherwise(quoted)).otherwise(raw)
+            out[label] = F.when(F.col("_odd") | (token == ""), labels[label]).otherwise(plain)
+        return _with(df, _failed(out, F.col("_odd"), "LogfmtParserErr")).drop("_odd", *(f"_r{i}" for i in range(len(keys))))
+
     def _regexp(self, df: DataFrame, pattern: str) -> DataFrame:
         names = [(n, re.compile(pattern).groupindex[n]) for n in re.compile(pattern).groupindex]
         plain = re.sub(r"\(\?P<[^>]+>", "(", pattern)
@@ -226,23 +308,25 @@ class LogEngine:
         return _once(df, {"line": F.coalesce("_t", "line"), "labels": F.when(bad, L.put(labels, ERROR, F.lit("TemplateFormatErr"))).otherwise(labels)}).drop("_t")
 
     def _label_format(self, df: DataFrame, items: tuple) -> DataFrame:
-        before = F.col("_before")
-        df = df.withColumn("_before", F.col("labels"))
+        labels, columns = _labels(df), df.columns
+        if isinstance(labels, L.Wide):
+            df, before = df.withColumns({f"_before_{n}": v for n, v in labels.items()}), L.Wide({n: F.col(f"`_before_{n}`") for n in labels})
+        else:
+            df, before = df.withColumn("_before", labels), F.col("_before")
         for target, kind, text in sorted(items, key=lambda x: x[1] == "template"):
-            labels = F.col("labels")
             if kind == "rename":
                 made = L.drop(L.put(labels, target, L.get(labels, text)), [text] if text != target else [])
-                df = _once(df, {"labels": F.when(F.map_contains_key(labels, text), made).otherwise(labels)})
+                df = _with(df, L.choose(L.has(labels, text), made, labels))
             else:
                 df = _once(df, {"_t": template.compile(text, before, F.col("line"), F.col("ts_ns"))})
-                df = _once(df, {"labels": L.put(labels, target, F.col("_t"))}).drop("_t")
-        return df.drop("_before")
+                df = _with(df, L.put(labels, target, F.col("_t"))).drop("_t")
+        return df.select(*(f"`{c}`" for c in columns))
 
     def _drop(self, df: DataFrame, items: tuple) -> DataFrame:
-        return _once(df, {"labels": F.map_filter("labels", lambda k, v: ~_chosen(k, v, items))})
+        return _with(df, L.those(_labels(df), lambda k, v: ~_chosen(k, v, items)))
 
     def _keep(self, df: DataFrame, items: tuple) -> DataFrame:
-        return _once(df, {"labels": F.map_filter("labels", lambda k, v: _chosen(k, v, items))})
+        return _with(df, L.those(_labels(df), lambda k, v: _chosen(k, v, items)))
 
     def _distinct(self, df: DataFrame, items: tuple) -> DataFrame:
         """The first line of each value of each label, in the order of (ts_ns, line).
@@ -250,21 +334,23 @@ class LogEngine:
         Labels are looked at in turn: a line without the label stays and goes no further, one whose value was seen
         on a line that came as far goes. The first of a value is an aggregate, so few rows are shuffled.
         """
-        kept = None
+        kept, labels = None, _labels(df)
+        tie = labels.values() if isinstance(labels, L.Wide) else [L.key(labels)]
         for label, _, _ in items:
-            without = df.where(~F.map_contains_key("labels", label))
+            without = df.where(~L.has(labels, label))
             kept = without if kept is None else kept.unionByName(without)
-            have, order = df.where(F.map_contains_key("labels", label)), F.struct("ts_ns", "line", L.key(F.col("labels")))
-            first = have.groupBy(F.col("labels")[label].alias("_l")).agg(F.min_by(F.struct(*df.columns), order).alias("_r"))
+            have, order = df.where(L.has(labels, label)), F.struct("ts_ns", "line", *tie)
+            row = F.struct(*(f"`{c}`" for c in df.columns))
+            first = have.groupBy(labels[label].alias("_l")).agg(F.min_by(row, order).alias("_r"))
             df = first.select("_r.*")
         return df if kept is None else kept.unionByName(df)
 
     def _unwrap(self, df: DataFrame, label: str, unit: str | None) -> DataFrame:
-        text = F.col("labels")[label]
+        labels = _labels(df)
+        text = labels[label]
         made = {None: text.try_cast("double"), "bytes": N.bytes_column(text), "duration": N.duration_column(text), "duration_seconds": N.duration_column(text)}[unit]
-        df = _once(df.where(F.map_contains_key("labels", label)), {"_u": made})
-        labels, bad = F.col("labels"), F.col("_u").isNull() & ~F.map_contains_key("labels", ERROR)
-        return _once(df, {"value": F.coalesce("_u", F.lit(0.0)), "labels": F.when(bad, L.put(labels, ERROR, F.lit("SampleExtractionErr"))).otherwise(labels)}).drop("_u").withColumn("unwrapped", F.lit(label))
+        df = _once(df.where(L.has(labels, label)), {"_u": made})
+        return _with(df, _failed(labels, F.col("_u").isNull(), "SampleExtractionErr")).withColumns({"value": F.coalesce("_u", F.lit(0.0)), "unwrapped": F.lit(label)}).drop("_u")
 
     # queries
 
@@ -277,6 +363,11 @@ class LogEngine:
         start, end = start_ns // 10**6 // step_ms * step_ms, end_ns // 10**6 // step_ms * step_ms + step_ms
         return self._metric(tree, Grid(start, end, step_ms))
 
+    def lines(self, query: str, start_ns: int, end_ns: int, labels: tuple[str, ...]) -> DataFrame:
+        """Entries with some labels as columns, empty where missing; what no stage and no column needs isn't made."""
+        rows = self.pipeline(Q.parse(query), start_ns, end_ns, labels)
+        return rows.select("ts_ns", "line", *(L.get(_labels(rows), n).alias(n) for n in labels))
+
     def query(self, query: str, at_ns: int) -> DataFrame:
         return self._metric(Q.parse(query), Grid(at_ns // 10**6, at_ns // 10**6, 1))
 
@@ -323,17 +414,21 @@ class LogEngine:
 
     def _range(self, e: Q.RangeAgg, grid: Grid) -> DataFrame:
         near = (grid.start - e.range_ms - e.offset_ms) * 10**6, (grid.last - e.offset_ms) * 10**6
-        rows = self.pipeline(e.logs, *near)
+        rows = self.pipeline(e.logs, *near, None if e.op in ("absent_over_time", "rate_counter") else e.by)
         unwrapped = "value" in rows.columns
         if not unwrapped:
             rows = rows.withColumn("value", F.octet_length("line").cast("double") if e.op.startswith("bytes") else F.lit(1.0))
-        labels = F.col("labels")
-        if e.by is not None:
+        labels = _labels(rows)
+        wide = isinstance(labels, L.Wide)
+        if wide:
+            pass
+        elif e.by is not None:
             rows = rows.withColumn("labels", L.keep(labels, list(e.by)))
         elif e.without is not None or unwrapped:
             gone = list(e.without or ())
             rows = rows.withColumn("labels", F.map_filter("labels", lambda k, v: ~(k.isin(gone) if gone else F.lit(False)) & ~((k == F.col("unwrapped")) if unwrapped else F.lit(False))))
-        rows = rows.select("labels", (N.ceil_div(F.col("ts_ns"), 10**6) + e.offset_ms).alias("ts_ms"), "ts_ns", "value")
+        group = [f"`@{n}`" for n in e.by] if wide else ["labels"]
+        rows = rows.select(*group, (N.ceil_div(F.col("ts_ns"), 10**6) + e.offset_ms).alias("ts_ms"), "ts_ns", "value")
         if e.op == "absent_over_time":
             equal = [F.lit(x) for n, op, t in e.logs.matchers if op == "=" for x in (n, t)]
             there = grid.fan_out(rows, e.range_ms).select("step_ms").distinct()
@@ -347,7 +442,8 @@ class LogEngine:
             "sum_over_time": lambda: F.sum(v), "avg_over_time": lambda: F.avg(v), "min_over_time": lambda: F.min(v), "max_over_time": lambda: F.max(v), "stddev_over_time": lambda: F.stddev_pop(v), "stdvar_over_time": lambda: F.var_pop(v),
             "first_over_time": lambda: F.min_by("value", "ts_ns"), "last_over_time": lambda: F.max_by("value", "ts_ns"), "quantile_over_time": lambda: N.quantile(e.parameter, v), "rate_counter": lambda: _counter(e.range_ms),
         }[e.op]()
-        return grid.fan_out(rows, e.range_ms).groupBy("labels", "step_ms").agg(made.alias("value"))
+        out = grid.fan_out(rows, e.range_ms).groupBy(*group, "step_ms").agg(made.alias("value"))
+        return out.select(L.whole_map(_labels(out)).alias("labels"), "step_ms", "value") if wide else out
 
     def _aggregate(self, e: Q.VectorAgg, grid: Grid) -> DataFrame:
         df = self._metric(e.expr, grid)

@@ -139,8 +139,7 @@ _logql("J8_ratio", 'sum(count_over_time({event_type="view"}[1d])) / sum(count_ov
 
 def _lines(key: str, query: str, columns: tuple[str, ...], sql: str | None, source=demo.access_logs) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = LogEngine(source(spark, d)).query_range(query, 0, 1 << 62)
-        return rows.select("ts_ns", "line", *(F.coalesce(F.col("labels")[c], F.lit("")).alias(c) for c in columns))
+        return LogEngine(source(spark, d)).lines(query, 0, 1 << 62, columns)
 
     QUERIES[key] = run
     if sql:
