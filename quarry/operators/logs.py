@@ -332,7 +332,8 @@ class LogEngine:
         """The first line of each value of each label, in the order of (ts_ns, line).
 
         Labels are looked at in turn: a line without the label stays and goes no further, one whose value was seen
-        on a line that came as far goes. The first of a value is an aggregate, so few rows are shuffled.
+        on a line that came as far goes. The first of a value is an aggregate, so few rows are shuffled; a set beside it,
+        which stays empty, has Spark aggregate by hashing where it would sort all lines.
         """
         kept, labels = None, _labels(df)
         tie = labels.values() if isinstance(labels, L.Wide) else [L.key(labels)]
@@ -341,7 +342,7 @@ class LogEngine:
             kept = without if kept is None else kept.unionByName(without)
             have, order = df.where(L.has(labels, label)), F.struct("ts_ns", "line", *tie)
             row = F.struct(*(f"`{c}`" for c in df.columns))
-            first = have.groupBy(labels[label].alias("_l")).agg(F.min_by(row, order).alias("_r"))
+            first = have.groupBy(labels[label].alias("_l")).agg(F.min_by(row, order).alias("_r"), F.collect_set(F.lit(None).cast("int")).alias("_s")).where(F.size("_s") == 0)
             df = first.select("_r.*")
         return df if kept is None else kept.unionByName(df)
 
