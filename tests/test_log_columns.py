@@ -44,7 +44,7 @@ def test_bytes_filter_makes_no_map(spark):
     assert "map_concat" not in _plan("F12_bytes", spark)
 
 
-@pytest.mark.parametrize("key", ["F15_distinct", "F15_distinct_missing"])
+@pytest.mark.parametrize("key", ["F15_distinct", "F15_distinct_missing", "F15_distinct_two"])
 def test_distinct_sorts_no_lines(spark, key):
     plan = _plan(key, spark)
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "map_concat" not in plan
