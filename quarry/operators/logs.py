@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +22,9 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: A key of logfmt and its value. Nothing is tried twice, so long quoted values need no deep stack.
 PAIR = r'([^\s="]++)(?:=("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"]*+))?'
-#: Stages that can do with some labels as columns.
+#: Stages that can do with some labels as columns, and functions of ranges whose sums can be taken at once.
 NARROW = {"line", "filter", "logfmt", "label_format", "drop", "keep", "distinct", "unwrap"}
+SUMMED = {"count_over_time", "rate", "bytes_over_time", "bytes_rate", "sum_over_time"}
 ANSI = r"\x1B\[[0-9;?]*[ -/]*[@-~]"
 
 
@@ -447,7 +449,11 @@ class LogEngine:
         return out.select(L.whole_map(_labels(out)).alias("labels"), "step_ms", "value") if wide else out
 
     def _aggregate(self, e: Q.VectorAgg, grid: Grid) -> DataFrame:
-        df = self._metric(e.expr, grid)
+        inner = e.expr
+        if e.op == "sum" and e.without is None and isinstance(inner, Q.RangeAgg) and inner.op in SUMMED and inner.by is None and inner.without is None:
+            gone = [s[1] for s in inner.logs.stages if s[0] == "unwrap"]
+            inner = replace(inner, by=tuple(n for n in dict.fromkeys(e.by or ()) if n not in gone))  # no groups that are only summed after
+        df = self._metric(inner, grid)
         labels, v = F.col("labels"), F.col("value")
         group = L.drop(labels, list(e.without)) if e.without is not None else L.keep(labels, list(e.by or ()))
         if e.op in ("sort", "sort_desc"):

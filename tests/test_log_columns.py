@@ -48,3 +48,17 @@ def test_bytes_filter_makes_no_map(spark):
 def test_distinct_sorts_no_lines(spark, key):
     plan = _plan(key, spark)
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "map_concat" not in plan
+
+
+@pytest.mark.parametrize("key", ["F29_unwrap_bytes"])
+def test_sums_are_taken_at_once(spark, key):
+    """Not by groups of all labels first, whose maps are sorted to be compared."""
+    plan = _plan(key, spark).split("HashAggregate")[-1]
+    assert "map_concat" not in plan and "mapsort" not in plan
+
+
+def test_sum_of_sums_has_no_unwrapped_label(engine):
+    """As by the map: the label that is unwrapped is on no sample, others are."""
+    got = lambda by: sorted((tuple(sorted(r.labels.items())), r.value) for r in engine.query('sum by (%s) (sum_over_time({j="1"} | logfmt | b = "" | unwrap a [1h]))' % by, 60_000 * 10**6).collect())
+    total = sum(v for _, v in got("j"))
+    assert got("a") == [((), total)] and got("a, j") == got("j") and [dict(k).get("__error__", "") for k, _ in got("j, __error__")] == ["LogfmtParserErr", "SampleExtractionErr", ""]
