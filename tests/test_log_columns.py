@@ -50,7 +50,7 @@ def test_distinct_sorts_no_lines(spark, key):
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "map_concat" not in plan
 
 
-@pytest.mark.parametrize("key", ["F29_unwrap_bytes"])
+@pytest.mark.parametrize("key", ["F29_unwrap_bytes", "L_error_lines"])
 def test_sums_are_taken_at_once(spark, key):
     """Not by groups of all labels first, whose maps are sorted to be compared."""
     plan = _plan(key, spark).split("HashAggregate")[-1]
