@@ -231,7 +231,7 @@ class LogEngine:
     def _logfmt(self, df: DataFrame, extracts: tuple) -> DataFrame:
         """The last of equal keys counts; a key that stands alone has the empty value."""
         labels, line = _labels(df), F.col("line")
-        odd = (F.length("line") - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+        odd = ~line.rlike(r'\A[^"]*+(?:"[^"]*+"[^"]*+)*+\z')
         pairs = {"_k": F.regexp_extract_all("line", F.lit(PAIR), F.lit(1)), "_v": F.regexp_extract_all("line", F.lit(PAIR), F.lit(2))}
         if isinstance(labels, L.Wide):
             return self._logfmt_wide(df, labels, dict(extracts) if extracts else {n: n for n in labels}, pairs, odd)
@@ -248,25 +248,31 @@ class LogEngine:
         return self._add(df, F.when(~odd, found), "LogfmtParserErr", bool(extracts)).drop("_k", "_v")
 
     def _logfmt_wide(self, df: DataFrame, labels: L.Wide, keys: dict[str, str], pairs: dict[str, Column], odd: Column) -> DataFrame:
-        """Only the keys that are asked for are taken: each by a regex that runs over all pairs once and holds its last one.
+        """Only the keys that are asked for are taken: each by a regex, and the last of equal ones.
 
-        Lines with a backslash, whose quoted values may have escapes, have all their pairs listed first.
+        The regex runs over all pairs, unless the key stands once in the line, after a blank and before all quotes.
+        Lines with a backslash, whose quoted values may have escapes, have all their pairs listed first. Each step is
+        generated without lambdas, which Spark would not compile.
         """
         line, value = F.col("line"), r'(?:=(?:"[^"]*+"|[^\s"]*+))?'
 
-        def held(key: str) -> Column:
+        def held(key: str, at: Column) -> Column:
             if not re.fullmatch(r'[^ \t\n\x0b\f\r="]+', key):
                 return F.lit("")
-            own = rf'({re.escape(key)}(?![^\s="]){value})'
-            return F.when(line.contains(key), F.regexp_extract("line", rf'\A(?:[\s="]++|{own}|[^\s="]++{value})*+', 1)).otherwise("")
-
-        def listed(p: Column) -> Column:
-            at = lambda key: F.size(p["_k"]) - F.array_position(F.reverse(p["_k"]), key).cast("int")
-            return made(lambda key: F.when(F.array_contains(p["_k"], key), F.concat(F.lit(key + "="), F.get(p["_v"], at(key)))).otherwise(""))
-
-        made = lambda token: F.struct(*(token(key).alias(f"_r{i}") for i, key in enumerate(keys.values())), F.coalesce(odd, F.lit(True)).alias("_odd"))
-        escaped = F.transform(F.array(F.struct(*(c.alias(n) for n, c in pairs.items()))), listed)
-        df = df.select("*", F.inline(F.when(line.contains("\\"), escaped).otherwise(F.array(made(held)))))
+            own = rf'{re.escape(key)}(?![^\s="]){value}'
+            blank = (at == 1) | line.substr(at - 1, F.lit(1)).isin(*" \t\n\x0b\f\r")
+            clear = blank & ((F.col("_q") == 0) | (F.col("_q") > at)) & (F.position(F.lit(key), line, at + 1) == 0)
+            every = F.regexp_extract("line", rf'\A(?:[\s="]++|({own})|[^\s="]++{value})*+', 1)
+            return F.when(at > 0, F.when(clear, F.regexp_extract("line", own, 0)).otherwise(every)).otherwise("")
+
+        def listed(key: str) -> Column:
+            at = F.size("_k") - F.array_position(F.reverse("_k"), key).cast("int")
+            return F.when(F.array_contains("_k", key), F.concat(F.lit(key + "="), F.get("_v", at))).otherwise("")
+
+        places = {f"_a{i}": F.locate(key, line) for i, key in enumerate(keys.values())}
+        made = {n: F.when(line.contains("\\"), c) for n, c in pairs.items()} | {"_odd": F.coalesce(odd, F.lit(True)), "_q": F.locate('"', line)} | places
+        df = _once(df, made)
+        df = _once(df, {f"_r{i}": F.when(F.col("_k").isNotNull(), listed(key)).otherwise(held(key, F.col(f"_a{i}"))) for i, key in enumerate(keys.values())}).drop(*pairs, "_q", *places)
         out = L.Wide(labels)
         for i, (label, key) in enumerate(keys.items()):
             token = F.col(f"_r{i}")
@@ -274,7 +280,8 @@ class LogEngine:
             quoted = token.substr(F.lit(len(key) + 3), F.length(token) - (len(key) + 3))
             plain = F.when(raw.startswith('"'), F.when(quoted.contains("\\"), F.regexp_replace(quoted, r'\\(["\\])', "$1")).otherwise(quoted)).otherwise(raw)
             out[label] = F.when(F.col("_odd") | (token == ""), labels[label]).otherwise(plain)
-        return _with(df, _failed(out, F.col("_odd"), "LogfmtParserErr")).drop("_odd", *(f"_r{i}" for i in range(len(keys))))
+        made = _failed(out, F.col("_odd"), "LogfmtParserErr")
+        return _once(df, {f"@{n}": c for n, c in made.items() if c is not labels[n]}).drop("_odd", *(f"_r{i}" for i in range(len(keys))))
 
     def _regexp(self, df: DataFrame, pattern: str) -> DataFrame:
         names = [(n, re.compile(pattern).groupindex[n]) for n in re.compile(pattern).groupindex]
