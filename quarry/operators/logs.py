@@ -351,7 +351,8 @@ class LogEngine:
             kept = without if kept is None else kept.unionByName(without)
             have, order = df.where(L.has(labels, label)), F.struct("ts_ns", "line", *tie)
             row = F.struct(*(f"`{c}`" for c in df.columns))
-            first = have.groupBy(labels[label].alias("_l")).agg(F.min_by(row, order).alias("_r"), F.collect_set(F.lit(None).cast("int")).alias("_s")).where(F.size("_s") == 0)
+            least = F.min(row) if isinstance(labels, L.Wide) and df.columns == ["ts_ns", "line", *(f"@{n}" for n in labels)] else F.min_by(row, order)
+            first = have.groupBy(labels[label].alias("_l")).agg(least.alias("_r"), F.collect_set(F.lit(None).cast("int")).alias("_s")).where(F.size("_s") == 0)
             df = first.select("_r.*")
         return df if kept is None else kept.unionByName(df)
 

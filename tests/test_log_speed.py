@@ -25,3 +25,9 @@ def test_short_ways_are_as_the_map(spark, names):
 def test_distinct_missing_is_compiled_and_dealt_out(spark):
     plan = _plan("F15_distinct_missing", spark)
     assert "lambda" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_distinct_two_holds_each_row_once(spark):
+    """Not as the row and as what it is ordered by; both passes read lines that were dealt out once."""
+    plan = _plan("F15_distinct_two", spark)
+    assert "min(struct(" in plan and "min_by" not in plan and "lambda" not in plan and "REPARTITION_BY_NUM" in plan
