@@ -210,7 +210,7 @@ class LogEngine:
             read[name] = ip_matches(value, t.value)
             good = made if t.op in ("=", "==") else ~made
         else:
-            read[name] = {"number": lambda: value.try_cast("double"), "duration": lambda: N.duration_column(value), "bytes": lambda: N.bytes_column(value)}[t.kind]()
+            read[name] = {"number": lambda: N.double_column(value), "duration": lambda: N.duration_column(value), "bytes": lambda: N.bytes_column(value)}[t.kind]()
             good = N.compare("==" if t.op == "=" else t.op, made, F.lit(float(t.value)))
         return there & F.coalesce(good, F.lit(True)), [there & made.isNull()]
 
@@ -359,7 +359,7 @@ class LogEngine:
     def _unwrap(self, df: DataFrame, label: str, unit: str | None) -> DataFrame:
         labels = _labels(df)
         text = labels[label]
-        made = {None: text.try_cast("double"), "bytes": N.bytes_column(text), "duration": N.duration_column(text), "duration_seconds": N.duration_column(text)}[unit]
+        made = {None: N.double_column(text), "bytes": N.bytes_column(text), "duration": N.duration_column(text), "duration_seconds": N.duration_column(text)}[unit]
         df = _once(df.where(L.has(labels, label)), {"_u": made})
         return _with(df, _failed(labels, F.col("_u").isNull(), "SampleExtractionErr")).withColumns({"value": F.coalesce("_u", F.lit(0.0)), "unwrapped": F.lit(label)}).drop("_u")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import queries
+from quarry.functions import numbers as N
 from quarry.operators.logs import LogEngine
 
 SF = "/root/testdata/sf0.1"
@@ -31,3 +32,14 @@ def test_distinct_two_holds_each_row_once(spark):
     """Not as the row and as what it is ordered by; both passes read lines that were dealt out once."""
     plan = _plan("F15_distinct_two", spark)
     assert "min(struct(" in plan and "min_by" not in plan and "lambda" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_doubles_are_as_cast(spark):
+    texts = ["1", " 1 ", "\t-1.5e3\n", "+.5", "1.", ".", "", " ", "-", "1d", "1F", "1L", "0x1.8p3", "0X1P-2", "0x", "1e", "1e+5", "1 2", "NaN", "nan", "-nan", "inf", "+INF", "-Infinity", " infinity ", "infinit", "1-URGENT", "5ms", "1_0", "1,0", "\u0661", "e5", "1\x00", "\x7f1", "1\u00a0", "--1", "1e999"]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "x string").select("x", N.double_column(F.col("x")).alias("a"), F.col("x").try_cast("double").alias("b")).collect()
+    assert [r.x for r in rows if str(r.a) != str(r.b)] == []
+
+
+def test_error_lines_throws_for_no_line(spark):
+    """A cast that fails throws; what can't be a number isn't cast."""
+    assert "RLIKE" in _plan("L_error_lines", spark).split("try_cast")[0].rsplit("Generate", 1)[-1]
