@@ -101,6 +101,8 @@ def _window_functions(window: int) -> dict:
 #: Aggregates that pass series on as they are.
 FILTERS = {"topk", "bottomk", "limitk", "limit_ratio"}
 NEIGHBOURS = {"rate", "increase", "irate", "idelta", "changes", "resets"}
+#: Sums of doubles depend on their order: it is that of time, as in the reference, however the samples are partitioned.
+IN_TIME = {"sum_over_time", "avg_over_time"}
 KEEP_NAME = {"last_over_time", "first_over_time"}
 RANGE_FUNCTIONS = {"count_over_time", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "last_over_time", "first_over_time", "present_over_time", "stddev_over_time", "stdvar_over_time", "rate", "increase", "delta", "irate", "idelta", "changes", "resets", "deriv", "ts_of_first_over_time", "ts_of_last_over_time", "ts_of_max_over_time", "ts_of_min_over_time", "mad_over_time", "predict_linear", "quantile_over_time", "double_exponential_smoothing"}
 
@@ -224,6 +226,8 @@ class PromEngine:
             else:
                 rows = rows.withColumns({"p_ts": F.lit(None).cast("long"), "p_value": F.lit(None).cast("double")})
             out = g.fan_out(rows, window)
+            if name in IN_TIME:
+                out = out.repartition("k", "step_ms").sortWithinPartitions("k", "step_ms", "ts_ms", "value")
             grouped = out.groupBy("k", "step_ms")
             v, x = F.col("value"), (F.col("ts_ms") - F.col("step_ms")) / 1000.0
             if name == "quantile_over_time":

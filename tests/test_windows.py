@@ -1,8 +1,10 @@
 """Windows at their bounds, both ways of reducing them, labels and numbers at their edges, templates, nested sets."""
 
+import functools
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import labels as L
@@ -47,6 +49,18 @@ def test_chunks(samples, name, monkeypatch):
             assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-7, nan_ok=True), k
 
 
+@pytest.mark.parametrize("cut", [[[0], [1, 2]], [[2, 1], [0]], [[2], [0, 1]], [[0, 1, 2]], [[2, 1, 0]]])
+def test_sums_in_time(spark, cut):
+    """Doubles are summed in the order of time, however samples are partitioned: floor shows the last place."""
+    v, schema = [73.32, 17.99, 8.69], "labels map<string,string>, ts_ms long, value double"
+    parts = [spark.createDataFrame([({"__name__": "m"}, 1000 * (k + 1), v[k]) for k in part], schema).coalesce(1) for part in cut]
+    e = PromEngine(functools.reduce(DataFrame.unionByName, parts))
+    one = lambda q: [r.value for r in e.query_range(q, 10_000, 10_000, 10_000).collect()]
+    assert one("sum_over_time(m[10s])") == [73.32 + 17.99 + 8.69] != [100.0]
+    assert one("floor(sum_over_time(m[10s]))") == [99.0]
+    assert one("avg_over_time(m[10s])") == [(73.32 + 17.99 + 8.69) / 3]
+
+
 def test_whole_match(spark):
     e = PromEngine(spark.createDataFrame([({"__name__": "m", "x": "a\n"}, 0, 1.0), ({"__name__": "m", "x": "a"}, 0, 2.0)], "labels map<string,string>, ts_ms long, value double"))
     assert [r.value for r in e.query('m{x=~"a"}', 0).collect()] == [2.0]
